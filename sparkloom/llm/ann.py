@@ -150,7 +150,23 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Params | N
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part["id"].to_numpy(), matrix(part["v"], dims))], ["query_ids", "query_vectors"])
 
     asked = chosen.where("is_query").select("id", "v")
-    code_blocks = checkpoint(reps.select("id", "v").mapInArrow(coded, "ids binary, codes binary, norms binary"))
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks as large as code_block, from whatever partitions encoding left."""
+        held, count = [], 0
+        merge = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(h[i] for h in held)], pa.binary()) for i in range(3)], ["ids", "codes", "norms"])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                count += len(row[0]) // 8
+                if count >= p.code_block:
+                    yield merge()
+                    held, count = [], 0
+        if held:
+            yield merge()
+
+    coded_parts = checkpoint(reps.select("id", "v").mapInArrow(coded, "ids binary, codes binary, norms binary"))
+    size = coded_parts.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0
+    code_blocks = checkpoint(coded_parts.coalesce(int(size // p.code_block) + 1).mapInArrow(gathered, "ids binary, codes binary, norms binary"))
     query_blocks = checkpoint(asked.coalesce(max(1, min(asked.rdd.getNumPartitions(), 32))).mapInArrow(blocks, "query_ids binary, query_vectors binary").withColumn("block", F.monotonically_increasing_id()))
     # every block of queries goes to every block of codes: that is the stated query set against all rows, in blocks
     ids = F.broadcast(query_blocks.agg(F.collect_list("block").alias("all")))  # block numbers only: 8 bytes for query_block queries
