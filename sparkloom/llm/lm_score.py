@@ -36,6 +36,16 @@ class Params:
     leave_out: bool = True
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: the high bytes of sorted hashes and of small counts are runs, which shuffles compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def ngrams(texts: list[bytes | None], p: Params) -> tuple[K.Buffer, list[np.ndarray], np.ndarray, np.ndarray]:
     """Buffer; per order the index of each word's n-gram (-1: none) in the distinct hashes; these hashes, ascending; their counts.
 
@@ -108,24 +118,24 @@ def lm_scores(docs: DataFrame, params: Params | None = None, id_col: str = "doc_
         full = [q for q in range(parts) if at[q + 1] > at[q]]
         pick = [order[at[q] : at[q + 1]] for q in full]
         grp = table["grp"][0].as_py()
-        return pa.table({"grp": pa.array([grp] * len(full), pa.int32()), "part": pa.array(full, pa.int32()), "hashes": pa.array([hashes[i].tobytes() for i in pick], pa.binary()), "counts": pa.array([counts[i].astype(np.uint32).tobytes() for i in pick], pa.binary())})
+        return pa.table({"grp": pa.array([grp] * len(full), pa.int32()), "part": pa.array(full, pa.int32()), "hashes": pa.array([packed(hashes[i]) for i in pick], pa.binary()), "counts": pa.array([packed(counts[i].astype(np.uint32)) for i in pick], pa.binary())})
 
     def counted(table: pa.Table) -> pa.Table:
         """The count table of one hash partition, joined back to the rows it came from."""
-        hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+        hashes = [unpacked(x, np.uint64) for x in table["hashes"].to_pylist()]
+        counts = np.concatenate([unpacked(x, np.uint32) for x in table["counts"].to_pylist()])
         distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         totals = np.bincount(inverse, counts, minlength=len(distinct)).astype(np.int64)[inverse]
         ends = np.cumsum([len(h) for h in hashes])
-        return pa.table({"grp": table["grp"], "part": table["part"], "totals": pa.array([x.tobytes() for x in np.split(totals, ends[:-1])], pa.binary())})
+        return pa.table({"grp": table["grp"], "part": table["part"], "totals": pa.array([packed(x) for x in np.split(totals, ends[:-1])], pa.binary())})
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = arranged(left)
         b, index, hashes, _ = ngrams(texts, p)
         part = (hashes % np.uint64(parts)).astype(np.int64)
         counts = np.zeros(len(hashes), np.int64)
-        for q, packed in zip(right["part"].to_pylist(), right["totals"].to_pylist()):
-            counts[part == q] = np.frombuffer(packed, np.int64)
+        for q, data in zip(right["part"].to_pylist(), right["totals"].to_pylist()):
+            counts[part == q] = unpacked(data, np.int64)
         total = log_scores(b, index, counts, words, p)
         size = np.diff(b.word_at)
         mean = pa.array(total / np.maximum(size, 1), pa.float64(), mask=size == 0)
