@@ -133,8 +133,11 @@ def fingerprints(batch: pa.RecordBatch, p: Params) -> dict:
 def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
     """A spanning forest of the confirmed links among rows (side, rep, sketch, text) of one pair of blocks.
 
-    With both sides in rows, pairs across the sides are compared, else all pairs.
+    With both sides in rows, pairs across the sides are compared, else all pairs. Rows are put in
+    order first: which links the forest holds must not depend on how a shuffle delivered them, else
+    a task that runs again would return other links.
     """
+    rows = sorted(rows, key=lambda r: r[:2])
     sets: dict[int, frozenset] = {}
     arrays: list[np.ndarray] = []
     start = 0
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, id_col: str =
     named = prints.where("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    labels = components(confirmed_links(source, classes, p))
+    labels = components(checkpoint(confirmed_links(source, classes, p)))  # every step must see the same forest, computed once
     least = classes.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("comp", "rep").alias("least"))
     rest = prints.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = named.select("doc_id", "n_shingles", "k1", "k2").join(least, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("least").alias("component_id"))

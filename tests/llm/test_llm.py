@@ -173,6 +173,19 @@ def test_near_duplicates_chain_across_blocks(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+def test_forest_does_not_depend_on_row_order():
+    rng = random.Random(2)
+    p = near_dedup.Params()
+    texts = [" ".join(f"w{i}" if rng.random() > 0.005 else f"x{rng.random()}" for i in range(150)).encode() for _ in range(40)]
+    sketch = near_dedup.sketches(*near_dedup.shingle_sets(texts, p.shingle), p.size, p.rounds)
+    small = (near_dedup.K.mix(sketch) & np.uint64(0xFF)).astype(np.uint8)
+    rows = [(i % 2, i, small[i].tobytes(), t) for i, t in enumerate(texts)]
+    wanted = near_dedup.linked(rows, p)
+    for _ in range(5):
+        rng.shuffle(rows)
+        assert near_dedup.linked(rows, p) == wanted and wanted
+
+
 def test_sharding(spark, docs, nothing):
     table = spark.createDataFrame([(i, "y" * (i % 900)) for i in range(2000)] + [(5, "y" * 5)] * 400, "doc_id long, text string")
     rows = sharding.shard(table, 8000).collect()
