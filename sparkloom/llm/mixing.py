@@ -128,8 +128,12 @@ def plan(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id",
 
 
 def mix(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with every row as often as plan() has it, columns unchanged. Ids must be unique; rows of null id are kept once."""
-    found = plan(docs.where(F.col(f"`{id_col}`").isNotNull()), params, id_col, source_col, text_col).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
+    """docs with every row as often as plan() has it, columns unchanged.
+
+    Rows that share an id are each emitted as often as the one of them with most copies; rows of null id are kept once.
+    """
+    planned = plan(docs.where(F.col(f"`{id_col}`").isNotNull()), params, id_col, source_col, text_col)
+    found = planned.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     many = docs.join(found.where("__copies > 0"), docs[id_col] == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return many.select(*names).union(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -141,6 +141,9 @@ def test_mixing(spark, docs, nothing):
     assert all(abs(r.out / total - r.w) < 0.02 for r in got) and all(r.out <= 3.0 * r.t + 8 for r in got)
     assert mixing.mix(table, p).count() == sum(r[0] for r in mixing.plan(table, p).select("copies").collect())
     assert mixing.plan(docs).count() == len(base_texts()) + 1 and mixing.plan(nothing).count() == 0 and mixing.mix(docs).columns == docs.columns
+    even = mixing.Params(entropy=None)
+    twice = table.where("doc_id < 4").union(table.where("doc_id < 4"))
+    assert collections.Counter(r.doc_id for r in mixing.mix(twice, even).collect()) == {0: 2, 1: 2, 2: 2, 3: 2}
 
 
 def test_near_duplicates(spark, docs, nothing):
