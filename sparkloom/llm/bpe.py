@@ -60,18 +60,28 @@ class Codec:
         self.p = p
         with open(path, encoding="utf-8") as f:
             text = f.read()
-        self.whole = Tokenizer.from_str(text)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+        self.text = text
         spec = json.loads(text)
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.merges = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
         self.lengths = np.zeros(max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])]) + 1, np.int64)
         for token, i in spec["model"]["vocab"].items():
             self.lengths[i] = len(token)
         self.ranks = self.by_rank(spec)
 
+    @functools.cached_property
+    def whole(self) -> Tokenizer:
+        """The library's tokenizer, made when it is needed: workers that meet no long pre-token do not hold it."""
+        made = Tokenizer.from_str(self.text)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
+    @functools.cached_property
+    def merges(self) -> Tokenizer:
+        """Its merges alone."""
+        return Tokenizer.from_str(json.dumps(json.loads(self.text) | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+
     @staticmethod
     def by_rank(spec: dict) -> tiktoken.Encoding | None:
         """A faster encoder of the same vocabulary, or None unless ids follow the order of the merges."""
@@ -154,7 +164,7 @@ class Codec:
             cuts = [len(token) * i // n for i in range(n + 1)]
             leaves += [token[a:b] for a, b in zip(cuts, cuts[1:])]
             counts.append(n)
-        encoded = [x.ids for x in self.merges.encode_batch_fast(leaves, add_special_tokens=False)]
+        encoded = [] if not leaves else [x.ids for x in self.merges.encode_batch_fast(leaves, add_special_tokens=False)]
         out, at = [], 0
         for token, n in zip(tokens, counts):
             level, at = encoded[at : at + n], at + n
@@ -209,8 +219,9 @@ def decode(encoded: DataFrame, path: str, params: Params | None = None) -> DataF
             for piece in K.pieces(iter([batch]), "ids", 2 * K.BUFFER_BYTES):
                 texts = codec(path, p).decode([np.frombuffer(x or b"", "<u4") for x in piece["ids"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["n_tokens"], piece["ids"], pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
+        K.release()
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+    return K.bound_batches(encoded).select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -138,7 +138,6 @@ def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
     a task that runs again would return other links.
     """
     rows = sorted(rows, key=lambda r: r[:2])
-    sets: dict[int, frozenset] = {}
     arrays: list[np.ndarray] = []
     start = 0
     while start < len(rows):
@@ -160,10 +159,10 @@ def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    def full(x: int) -> frozenset:
-        if x not in sets:
-            sets[x] = frozenset(arrays[x].tolist())
-        return sets[x]
+    def common(x: int, y: int) -> int:
+        few, many = sorted((arrays[x], arrays[y]), key=len)
+        at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+        return int((many[at] == few).sum())
 
     left = np.flatnonzero(sides == sides.min())
     across = len(left) < len(rows)
@@ -176,8 +175,8 @@ def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
         near = right[(equal >= p.least_equal) & (100 * lo >= p.percent * hi)]
         for y in near.tolist():
             if (across or y > x) and find(x) != find(y):
-                both = len(full(x) & full(y))
-                if 100 * both >= p.percent * (len(sets[x]) + len(sets[y]) - both):
+                both = common(x, y)
+                if 100 * both >= p.percent * (len(arrays[x]) + len(arrays[y]) - both):
                     root[find(x)] = find(y)
                     out.append((reps[x], reps[y]))
     return out
@@ -205,9 +204,10 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame
             groups.setdefault(comp, []).append((own, rep, sketch, text))
         i, j = key[1].as_py(), key[2].as_py()
         found = [x for rows in groups.values() if len(rows) > 1 and (i == j or len({r[0] for r in rows}) == 2) for x in linked(rows, p)]
+        K.release()
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return cut.groupBy("g", "i", "j").applyInArrow(verify, "a long, b long")
+    return K.bound_batches(cut).groupBy("g", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

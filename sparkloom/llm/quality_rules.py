@@ -139,5 +139,6 @@ def keep_good(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id
         for batch in K.pieces(batches, text_col):
             good = measure(batch.column(at).cast(pa.binary()).to_pylist(), rules)["kept"]
             yield batch.filter(pa.array(good))
+        K.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return K.bound_batches(docs).mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ about 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one buffer takes (a longer single text makes a longer buffer).
 BUFFER_BYTES = 1 << 20
+#: Bytes of rows that Spark puts in one Arrow batch for Python; its default would be held several times over per task.
+BATCH_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -133,6 +136,23 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BUFFER_B
             yield batch.slice(a, b - a)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's limit on an Arrow batch is lowered to BATCH_BYTES (a lower one stays)."""
+    context, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = context.conf.get(key)
+    if not held.removesuffix("b").isdigit() or int(held.removesuffix("b")) > BATCH_BYTES:
+        context.conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch[column].cast(pa.binary()).to_pylist()
 
@@ -148,9 +168,10 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
         for piece in pieces(batches, "text", limit):
             out = fn(piece)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
+        release()
 
     chosen = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for n, c in (extra or {}).items())]
-    return df.select(*chosen).mapInArrow(run, schema)
+    return bound_batches(df).select(*chosen).mapInArrow(run, schema)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
