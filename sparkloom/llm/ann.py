@@ -9,8 +9,8 @@ are reranked by exact distance on the original vectors.
 
 Plan: equal vectors fall together (each keeps its k + 1 smallest ids, by a window whose
 limit is pushed below the shuffle); distinct vectors are encoded where they are and
-packed in blocks; blocks of queries meet blocks of codes; each task returns its best
-candidates per query. The codebooks are the only broadcast; their size is fixed by Params.
+packed in blocks; blocks of codes stream past each block of queries, which holds its best
+candidates so far and returns as many per query however many codes there are. The codebooks are the only broadcast; their size is fixed by Params.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkernel import checkpoint
+from .textkernel import bound_batches, checkpoint
 
 
 @dataclass(frozen=True)
@@ -150,6 +150,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Params | N
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part["id"].to_numpy(), matrix(part["v"], dims))], ["query_ids", "query_vectors"])
 
     asked = chosen.where("is_query").select("id", "v")
+
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks as large as code_block, from whatever partitions encoding left."""
         held, count = [], 0
@@ -170,29 +171,38 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Params | N
     query_blocks = checkpoint(asked.coalesce(max(1, min(asked.rdd.getNumPartitions(), 32))).mapInArrow(blocks, "query_ids binary, query_vectors binary").withColumn("block", F.monotonically_increasing_id()))
     # every block of queries goes to every block of codes: that is the stated query set against all rows, in blocks
     ids = F.broadcast(query_blocks.agg(F.collect_list("block").alias("all")))  # block numbers only: 8 bytes for query_block queries
-    met = code_blocks.join(ids, F.lit(True)).withColumn("block", F.explode("all")).drop("all").repartition("block", "ids").join(query_blocks, "block")
+    met = code_blocks.join(ids, F.lit(True)).withColumn("block", F.explode("all")).drop("all").repartition("block").join(query_blocks, "block")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of all code blocks for each query block: codes stream by, only the best so far are held."""
         flat = books.value.reshape(-1, dims)
         offsets = np.arange(p.codebooks) * p.codewords
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
                 ids_, norms = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["norms"], np.float32)
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids_), p.codebooks) + offsets
                 asked_ids, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["query_vectors"], np.float32).reshape(-1, dims)
                 tables = flat @ q.T
                 take = min(len(ids_), p.rerank)
-                out_q, out_i, out_s = [], [], []
-                for at in range(len(asked_ids)):
-                    column = tables[:, at]
+                near, found = np.empty((len(asked_ids), take), np.float32), np.empty((len(asked_ids), take), np.int64)
+                for i in range(len(asked_ids)):
+                    column = np.ascontiguousarray(tables[:, i])
                     score = norms - 2 * column[codes].sum(axis=1)
                     best = np.argpartition(score, take - 1)[:take]
-                    out_q.append(np.full(take, asked_ids[at]))
-                    out_i.append(ids_[best])
-                    out_s.append(score[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], ["query_id", "rep", "near"])
-
-    found = met.mapInArrow(searched, "query_id long, rep long, near float")
+                    near[i], found[i] = score[best], ids_[best]
+                if r["block"] in held:
+                    _, before, known = held[r["block"]]
+                    near, found = np.concatenate([before, near], axis=1), np.concatenate([known, found], axis=1)
+                    if near.shape[1] > p.rerank:
+                        keep = np.argpartition(near, p.rerank - 1, axis=1)[:, : p.rerank]
+                        near, found = np.take_along_axis(near, keep, axis=1), np.take_along_axis(found, keep, axis=1)
+                held[r["block"]] = asked_ids, near, found
+        for asked_ids, near, found in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, near.shape[1])), pa.array(found.ravel()), pa.array(near.ravel())], ["query_id", "rep", "near"])
+
+    found = bound_batches(met).mapInArrow(searched, "query_id long, rep long, near float")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "rep"))).where(F.col("n") <= p.rerank).select("query_id", "rep")
     scored = (
         best.join(reps.select("rep", F.col("v").alias("x")), "rep")
