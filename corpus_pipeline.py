@@ -15,6 +15,8 @@ from sparkloom.llm import bpe, mixing, near_dedup, pii, quality_rules
 from sparkloom.llm.queries import TOKENIZER
 
 ORACLE_SQL = None
+#: Near copies for the corpus: 5-word Jaccard of 0.80 or more (85 is op7's own contract).
+NEAR = near_dedup.Params(percent=80)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of smallest id; rows of null id stay."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    gone = near_dedup.near_duplicates(docs, NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 

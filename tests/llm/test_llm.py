@@ -238,3 +238,14 @@ def test_pipeline(spark):
     whole = Tokenizer.from_file(PATH)
     assert all(np.frombuffer(r.ids, "<u4").tolist() == whole.encode(r.text, add_special_tokens=False).ids for r in rows[:50])
     assert len(corpus_pipeline.STAGES) == 5 and all(r.doc_id in before for r in rows)
+
+
+def test_pipeline_drops_near_copies_from_080(spark):
+    rng = random.Random(12)
+    base = [[f"g{g}w{i}" for i in range(100)] for g in range(40)]
+    texts = [*base, *([*b[:k], *(f"x{rng.random()}" for _ in range(100 - k))] for b, k in zip(base, [*range(85, 95)] * 4))]
+    sets = [frozenset(zip(*(t[k:] for k in range(5)))) for t in texts]
+    close = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert any(100 * len(sets[i] & sets[j]) < 85 * len(sets[i] | sets[j]) for i, j in close)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup(spark, table, "").collect()} == set(range(len(texts))) - {j for _, j in close}
