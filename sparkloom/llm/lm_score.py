@@ -30,7 +30,7 @@ from . import textkernel as K
 class Params:
     """order: longest n-gram. group_bytes: text in a group of documents. leave_out: take a document's own counts away."""
 
-    order: int = 2
+    order: int = 3
     backoff: float = 0.4
     group_bytes: int = 1 << 22
     leave_out: bool = True

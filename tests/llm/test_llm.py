@@ -249,3 +249,24 @@ def test_pipeline_drops_near_copies_from_080(spark):
     assert any(100 * len(sets[i] & sets[j]) < 85 * len(sets[i] | sets[j]) for i, j in close)
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.dedup(spark, table, "").collect()} == set(range(len(texts))) - {j for _, j in close}
+
+
+def test_lm_scores_back_off_from_trigrams(spark):
+    rows = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    grams = lambda t: collections.Counter(tuple(t[i : i + k]) for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    every, size = sum(map(grams, rows.values()), collections.Counter()), sum(map(len, rows.values()))
+    wanted, used = {}, 0
+    for doc, t in rows.items():
+        own, total = grams(t), 0.0
+        net = lambda g: every[g] - own[g]
+        for i in range(len(t)):
+            weight, k = 1.0, min(i + 1, 3)
+            while k > 1 and not (net(tuple(t[i - k + 1 : i + 1])) > 0 and net(tuple(t[i - k + 1 : i])) > 0):
+                weight, k = weight * 0.4, k - 1
+            g = tuple(t[i - k + 1 : i + 1])
+            used += k == 3
+            total += np.log(weight * (net(g) / net(g[:-1]) if k > 1 else net(g) / (size - len(t)) if net(g) > 0 else 1 / size))
+        wanted[doc] = total
+    assert used
+    got = {r.doc_id: r.log_score for r in queries.op2_lm_score_trigrams(spark, DATA).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[d] - wanted[d]) < 2e-3 for d in wanted)
