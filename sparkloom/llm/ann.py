@@ -5,12 +5,15 @@ codebooks. Codebooks are trained on residuals of a bounded sample; vectors are e
 beam search over all codebooks; the norm of every approximation is stored. A query's
 squared distance to an approximation is |q|^2 - 2 * sum of table entries + stored norm,
 where the tables hold the query's products with all codewords. The best approximations
-are reranked by exact distance on the original vectors.
+are compared by exact distance on the original vectors, which bounds the k-th distance;
+then so is every other vector whose approximate distance, less the stored length of what
+its approximation leaves, does not exceed that bound. By the triangle inequality no nearer
+vector is left out, so the result is exact however many vectors are close to a query.
 
 Plan: equal vectors fall together (each keeps its k + 1 smallest ids, by a window whose
 limit is pushed below the shuffle); distinct vectors are encoded where they are and
-packed in blocks; blocks of codes stream past each block of queries, which holds its best
-candidates so far and returns as many per query however many codes there are. The codebooks are the only broadcast; their size is fixed by Params.
+packed in blocks with their codes; blocks stream past each block of queries, which holds the
+k + 1 nearest so far and returns as many per query however many codes there are. The codebooks are the only broadcast; their size is fixed by Params.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .textkernel import bound_batches, checkpoint
 
 @dataclass(frozen=True)
 class Params:
-    """sample: most vectors that training looks at; rerank: candidates per query that are compared exactly."""
+    """sample: most vectors that training looks at; rerank: candidates per query and block that are compared exactly to set its bound."""
 
     codebooks: int = 16
     codewords: int = 256
@@ -65,8 +68,8 @@ def train(sample: np.ndarray, p: Params) -> np.ndarray:
     return books
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (uint8) and squared norms of the approximations, by beam search over the codebooks."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (uint8), squared norms of the approximations and lengths of what they leave, by beam search over the codebooks."""
     n, (m_books, words, dims) = len(x), books.shape
     codes = np.zeros((n, 1, m_books), np.uint8)
     rest = x.astype(np.float32)[:, None, :]
@@ -81,8 +84,36 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
         rest = np.take_along_axis(rest, parent[:, :, None], axis=1) - books[m][word]
     pick = (rest**2).sum(-1).argmin(axis=1)
     codes = codes[np.arange(n), pick]
-    approx = x.astype(np.float32) - rest[np.arange(n), pick]
-    return codes, (approx**2).sum(1)
+    approx = np.zeros(x.shape)
+    for m in range(m_books):
+        approx += books[m][codes[:, m]]
+    return codes, (approx**2).sum(1), np.sqrt(((x - approx) ** 2).sum(1))
+
+
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of the columns of x from q, summed in the order of the components."""
+    total = np.zeros(x.shape[1])
+    for row, v in zip(x, q):
+        total += (row - v) ** 2
+    return np.sqrt(total)
+
+
+#: Share by which rounding may raise a bound (double precision leaves far less).
+SLACK = 1e-9
+
+
+def closest(q: np.ndarray, table: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, left: np.ndarray, x: np.ndarray, bound: float, take: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the nearest columns of x to q, by distance, then id: at most most of them, none that is surely beyond bound."""
+    square = (q**2).sum()
+    near = square - 2 * table[codes].sum(axis=1) + norms
+    if len(ids) > take:
+        first = np.sort(exact(x[:, np.argpartition(near, take - 1)[:take]], q))
+        bound = min(bound, first[most - 1]) if take >= most else bound
+    least = np.sqrt(np.maximum(near - SLACK * (square + norms), 0)) - left * (1 + SLACK)
+    pick = np.flatnonzero(~(least > bound * (1 + SLACK)))  # what is no number is compared
+    score = exact(x[:, pick], q)
+    best = np.lexsort((ids[pick], score))[:most]
+    return score[best], ids[pick][best]
 
 
 def usable(vector: Column) -> Column:
@@ -91,16 +122,17 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda v: F.coalesce(finite(v), F.lit(False))) & F.exists(vector, lambda v: F.coalesce(v != 0, F.lit(False)))
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
+def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
+#: Bytes of vectors in a block of codes.
+BLOCK_BYTES = 16 << 20
+_BLOCK = ["ids", "codes", "norms", "rests", "vectors"]
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Params | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k nearest other rows of each row for which queries holds: query_id, rank (from 1), vec_id, score (Euclidean distance).
+    """The k nearest other rows, exactly, of each row for which queries holds: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     Nearest first, ties to the smaller id; all other rows where there are at most k. Vectors that are
     null, empty, zero, hold null or non-finite components, or differ in length from the first sampled
@@ -122,22 +154,23 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Params | N
     ranked = chosen.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).withColumn("rep", F.first("id").over(same))
     ranked = checkpoint(ranked.select("id", "rep", "place", "v"))
     reps = ranked.where("place = 1")
+    block_rows = max(1, min(p.code_block, BLOCK_BYTES // (8 * dims)))
+    block_schema = ", ".join(f"{c} binary" for c in _BLOCK)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
         def packed() -> pa.RecordBatch:
-            ids, codes, norms = (np.concatenate([h[i] for h in held]) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, codes, norms)], ["ids", "codes", "norms"])
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held)], _BLOCK)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                codes, norms = encode(matrix(part["v"], dims), books.value, p.beam)
-                held.append((part["id"].to_numpy(), codes, norms.astype(np.float32)))
+                x = matrix(part["v"], dims)
+                held.append((part["id"].to_numpy(), *encode(x, books.value, p.beam), x))
                 count += part.num_rows
-                if count >= p.code_block:
+                if count >= block_rows:
                     yield packed()
                     held, count = [], 0
         if held:
@@ -152,63 +185,53 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Params | N
     asked = chosen.where("is_query").select("id", "v")
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks as large as code_block, from whatever partitions encoding left."""
+        """Blocks of block_rows, from whatever partitions encoding left."""
         held, count = [], 0
-        merge = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(h[i] for h in held)], pa.binary()) for i in range(3)], ["ids", "codes", "norms"])
+        merge = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in zip(*held)], _BLOCK)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(row)
                 count += len(row[0]) // 8
-                if count >= p.code_block:
+                if count >= block_rows:
                     yield merge()
                     held, count = [], 0
         if held:
             yield merge()
 
-    coded_parts = checkpoint(reps.select("id", "v").mapInArrow(coded, "ids binary, codes binary, norms binary"))
+    coded_parts = checkpoint(reps.select("id", "v").mapInArrow(coded, block_schema))
     size = coded_parts.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0
-    code_blocks = checkpoint(coded_parts.coalesce(int(size // p.code_block) + 1).mapInArrow(gathered, "ids binary, codes binary, norms binary"))
+    code_blocks = checkpoint(bound_batches(coded_parts.coalesce(int(size // block_rows) + 1)).mapInArrow(gathered, block_schema))
     query_blocks = checkpoint(asked.coalesce(max(1, min(asked.rdd.getNumPartitions(), 32))).mapInArrow(blocks, "query_ids binary, query_vectors binary").withColumn("block", F.monotonically_increasing_id()))
     # every block of queries goes to every block of codes: that is the stated query set against all rows, in blocks
     ids = F.broadcast(query_blocks.agg(F.collect_list("block").alias("all")))  # block numbers only: 8 bytes for query_block queries
     met = code_blocks.join(ids, F.lit(True)).withColumn("block", F.explode("all")).drop("all").repartition("block").join(query_blocks, "block")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best of all code blocks for each query block: codes stream by, only the best so far are held."""
-        flat = books.value.reshape(-1, dims)
+        """The k + 1 nearest of all code blocks for each query block: codes stream by, only the nearest so far are held."""
+        flat = books.value.reshape(-1, dims).astype(np.float64)
         offsets = np.arange(p.codebooks) * p.codewords
-        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, list]] = {}
         for batch in batches:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1).to_pylist()[0]
-                ids_, norms = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["norms"], np.float32)
+                ids_, norms, left = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["norms"]), np.frombuffer(r["rests"])
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids_), p.codebooks) + offsets
-                asked_ids, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["query_vectors"], np.float32).reshape(-1, dims)
-                tables = flat @ q.T
-                take = min(len(ids_), p.rerank)
-                near, found = np.empty((len(asked_ids), take), np.float32), np.empty((len(asked_ids), take), np.int64)
-                for i in range(len(asked_ids)):
-                    column = np.ascontiguousarray(tables[:, i])
-                    score = norms - 2 * column[codes].sum(axis=1)
-                    best = np.argpartition(score, take - 1)[:take]
-                    near[i], found[i] = score[best], ids_[best]
-                if r["block"] in held:
-                    _, before, known = held[r["block"]]
-                    near, found = np.concatenate([before, near], axis=1), np.concatenate([known, found], axis=1)
-                    if near.shape[1] > p.rerank:
-                        keep = np.argpartition(near, p.rerank - 1, axis=1)[:, : p.rerank]
-                        near, found = np.take_along_axis(near, keep, axis=1), np.take_along_axis(found, keep, axis=1)
-                held[r["block"]] = asked_ids, near, found
-        for asked_ids, near, found in held.values():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, near.shape[1])), pa.array(found.ravel()), pa.array(near.ravel())], ["query_id", "rep", "near"])
-
-    found = bound_batches(met).mapInArrow(searched, "query_id long, rep long, near float")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "rep"))).where(F.col("n") <= p.rerank).select("query_id", "rep")
-    scored = (
-        best.join(reps.select("rep", F.col("v").alias("x")), "rep")
-        .join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        .select("query_id", "rep", euclidean(F.col("x"), F.col("q")).alias("score"))
-    )
+                x = np.ascontiguousarray(np.frombuffer(r["vectors"]).reshape(-1, dims).T)
+                asked_ids, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["query_vectors"]).reshape(-1, dims)
+                tables = q @ flat.T
+                _, best = held.setdefault(r["block"], (asked_ids, [(np.zeros(0), np.zeros(0, np.int64))] * len(asked_ids)))
+                for i, (score, known) in enumerate(best):
+                    bound = score[k] if len(score) > k else np.inf
+                    more, found = closest(q[i], tables[i], ids_, codes, norms, left, x, bound, max(p.rerank, k + 1), k + 1)
+                    score, known = np.concatenate([score, more]), np.concatenate([known, found])
+                    order = np.lexsort((known, score))[: k + 1]
+                    best[i] = score[order], known[order]
+        for asked_ids, best in held.values():
+            ends = [len(known) for _, known in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, ends)), pa.array(np.concatenate([known for _, known in best])), pa.array(np.concatenate([score for score, _ in best]))], ["query_id", "rep", "score"])
+
+    # a query's own class may hold no other row: k + 1 classes hold its k nearest rows
+    scored = bound_batches(met).mapInArrow(searched, "query_id long, rep long, score double")
     by_rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         scored.join(ranked.select("rep", F.col("id").alias("vec_id")), "rep")

@@ -270,3 +270,18 @@ def test_lm_scores_back_off_from_trigrams(spark):
     assert used
     got = {r.doc_id: r.log_score for r in queries.op2_lm_score_trigrams(spark, DATA).collect()}
     assert got.keys() == wanted.keys() and all(abs(got[d] - wanted[d]) < 2e-3 for d in wanted)
+
+
+def test_ann_is_exact_inside_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x[1000:3000] = x[1000] + rng.normal(scale=1e-3, size=(2000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(dict)
+    for r in ann.nearest(table, F.col("vec_id") % 100 == 0, params=ann.Params(rounds=2)).collect():
+        got[r.query_id][r["rank"]] = r.vec_id
+    assert len(got) == 40
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        assert [found[n] for n in range(1, 11)] == np.lexsort((np.arange(4000), d))[:10].tolist()
