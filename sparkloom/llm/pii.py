@@ -10,6 +10,8 @@ matches stays far from quadratic, give the starts in code points.
 
 Expressions are possessive and may only begin where a run of their characters begins (or
 the previous match ended), which finds the same leftmost matches without rescanning runs.
+That does not hold for account codes, which text of the same characters may follow: a known
+country's code has its country's length; of another's, every end at a blank is tried.
 
 Null and empty texts have no spans; repeated rows give repeated results; null ids pass.
 """
@@ -39,12 +41,25 @@ class Kind:
     base: bool = True
 
 
+#: Length of an account code by country (the IBAN registry).
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "(?:" + "|".join(sorted(" ".join(IBAN.values()).split())) + ")"
+_ACCOUNT = "|".join(
+    [
+        *(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN.items()),
+        rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_KNOWN}[0-9]{{2}}))?+[A-Z0-9]){{11,30}}(?![A-Za-z0-9])",
+    ]
+)
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", r"mail|contact|write|address|correo|courriel", 0.7),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]++\.", r"\bip\b|host|server|address", 0.6),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9](?:[\x20-]?+[0-9]){13}", r"card|visa|master|amex|credit|pay", 0.6),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", r"phone|call|tel|mobile|fax|contact", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]", r"iban|account|bank|transfer|konto", 0.7, False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_ACCOUNT})", r"[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]", r"iban|account|bank|transfer|konto", 0.7, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"ssn|social security|tax", 0.3, False),
     Kind("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", "AKIA", r"key|secret|token|aws", 0.7, False),
 )
@@ -73,9 +88,18 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
+def account(found: Column) -> Column:
+    """The longest start of a match that is a valid account code and ends with the match (of a known country: that alone) or before a blank; '' if there is none."""
+    blanks = F.split(found, " ")
+    sizes = F.when(found.rlike(f"^{_KNOWN}"), F.array(F.size(blanks))).otherwise(F.sequence(F.size(blanks), F.lit(1), F.lit(-1)))
+    starts = F.transform(sizes, lambda n: F.array_join(F.slice(blanks, F.lit(1), n), " "))
+    right = lambda c: F.when(F.length(F.replace(c, F.lit(" "), F.lit(""))).between(15, 34), mod97(F.replace(c, F.lit(" "), F.lit("")))).otherwise(False)
+    return F.coalesce(F.get(F.filter(starts, right), F.lit(0)), F.lit(""))
+
+
 def bare(kind: str, found: Column) -> Column:
     """What a match's validator looks at."""
-    return digits(found) if kind in ("card", "phone") else F.replace(found, F.lit(" "), F.lit("")) if kind == "iban" else found
+    return digits(found) if kind in ("card", "phone") else account(found) if kind == "iban" else found
 
 
 def valid(kind: str, code: Column) -> Column:
@@ -86,7 +110,7 @@ def valid(kind: str, code: Column) -> Column:
     if kind == "phone":
         return F.length(code).between(10, 15)
     if kind == "iban":
-        return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(False)
+        return code != ""
     if kind == "ssn":
         return ~code.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -129,7 +153,7 @@ def with_spans(df: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
             lambda m, i: F.struct(
                 F.lit(k.name).alias("kind"),
                 start(i).alias("start"),
-                (start(i) + F.length(m)).alias("stop"),
+                (start(i) + F.length(at("code", i) if k.name == "iban" else m)).alias("stop"),
                 F.when(valid(k.name, at("code", i)), F.lit(k.score) + F.when(F.lower(F.right(at("gaps", i), F.lit(48))).rlike(k.context), 0.3).otherwise(0.0)).otherwise(0.0).alias("score"),
             ),
         )

@@ -285,3 +285,15 @@ def test_ann_is_exact_inside_a_group_of_near_copies(spark):
         d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
         d[q] = np.inf
         assert [found[n] for n in range(1, 11)] == np.lexsort((np.arange(4000), d))[:10].tolist()
+
+
+def test_account_codes_end_before_what_follows(spark):
+    other = next(f"ZZ{c:02d}1234ABCD56789012" for c in range(2, 99) if int("".join(str(int(x, 36)) for x in f"1234ABCD56789012ZZ{c:02d}")) % 97 == 1)
+    codes = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", other]
+    texts = [f"IBAN {c}{after}" for c in codes for after in ("", " Please pay", " Call me", " BIC NWBKGB2L", " 2024 due", ", then", " I 7", " DE89 3704 0044 0532 0130 00 OK")]
+    texts += ["IBAN GB82WEST12345698765433 Please pay", "GB82WEST12345698765432X", "IBAN GB82WEST1234569876543 2024"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r.text for r in pii.redact(table, tuple(k for k in pii.KINDS if k.name == "iban")).orderBy("doc_id").collect()]
+    assert clean[-3:] == texts[-3:]
+    wanted = [f"IBAN <iban>{after.replace(codes[1], '<iban>')}" for _ in codes for after in ("", " Please pay", " Call me", " BIC NWBKGB2L", " 2024 due", ", then", " I 7", " DE89 3704 0044 0532 0130 00 OK")]
+    assert clean[:-3] == wanted
