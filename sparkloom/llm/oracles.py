@@ -5,16 +5,20 @@ from __future__ import annotations
 _LM = r"""
 WITH words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM
        (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
- pairs AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM words),
+ places AS (SELECT doc_id, i, w, lag(w) OVER d AS c, lag(w, 2) OVER d AS cc FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
  uni AS (SELECT w, count(*) AS n FROM words GROUP BY w), uni_own AS (SELECT doc_id, w, count(*) AS n FROM words GROUP BY ALL),
- bi AS (SELECT c, w, count(*) AS n FROM pairs WHERE c IS NOT NULL GROUP BY ALL), bi_own AS (SELECT doc_id, c, w, count(*) AS n FROM pairs WHERE c IS NOT NULL GROUP BY ALL),
+ bi AS (SELECT c, w, count(*) AS n FROM places WHERE c IS NOT NULL GROUP BY ALL), bi_own AS (SELECT doc_id, c, w, count(*) AS n FROM places WHERE c IS NOT NULL GROUP BY ALL),
+ tri AS (SELECT cc, c, w, count(*) AS n FROM places WHERE cc IS NOT NULL GROUP BY ALL), tri_own AS (SELECT doc_id, cc, c, w, count(*) AS n FROM places WHERE cc IS NOT NULL GROUP BY ALL),
  size AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id), total AS (SELECT count(*) AS n FROM words),
- parts AS (SELECT p.doc_id, p.c, u.n - uo.n AS w1, s.n AS own, t.n AS n, b.n - bo.n AS w2, uc.n - uco.n AS c1
-   FROM pairs p CROSS JOIN total t JOIN size s USING (doc_id) JOIN uni u ON u.w = p.w JOIN uni_own uo ON uo.doc_id = p.doc_id AND uo.w = p.w
+ parts AS (SELECT p.doc_id, p.c, p.cc, u.n - uo.n AS w1, s.n AS own, t.n AS n, b.n - bo.n AS w2, uc.n - uco.n AS c1, g.n - go.n AS w3, bc.n - bco.n AS c2
+   FROM places p CROSS JOIN total t JOIN size s USING (doc_id) JOIN uni u ON u.w = p.w JOIN uni_own uo ON uo.doc_id = p.doc_id AND uo.w = p.w
    LEFT JOIN bi b ON b.c = p.c AND b.w = p.w LEFT JOIN bi_own bo ON bo.doc_id = p.doc_id AND bo.c = p.c AND bo.w = p.w
-   LEFT JOIN uni uc ON uc.w = p.c LEFT JOIN uni_own uco ON uco.doc_id = p.doc_id AND uco.w = p.c),
- low AS (SELECT *, CASE WHEN w1 > 0 THEN w1::DOUBLE / (n - own) ELSE 1::DOUBLE / n END AS one FROM parts),
- logs AS (SELECT doc_id, sum(ln(CASE WHEN c IS NULL THEN one WHEN w2 > 0 AND c1 > 0 THEN w2::DOUBLE / c1 ELSE 0.4::DOUBLE * one END)) AS s FROM low GROUP BY doc_id)
+   LEFT JOIN uni uc ON uc.w = p.c LEFT JOIN uni_own uco ON uco.doc_id = p.doc_id AND uco.w = p.c
+   LEFT JOIN tri g ON g.cc = p.cc AND g.c = p.c AND g.w = p.w LEFT JOIN tri_own go ON go.doc_id = p.doc_id AND go.cc = p.cc AND go.c = p.c AND go.w = p.w
+   LEFT JOIN bi bc ON bc.c = p.cc AND bc.w = p.c LEFT JOIN bi_own bco ON bco.doc_id = p.doc_id AND bco.c = p.cc AND bco.w = p.c),
+ one AS (SELECT *, CASE WHEN w1 > 0 THEN w1::DOUBLE / (n - own) ELSE 1::DOUBLE / n END AS s1 FROM parts),
+ two AS (SELECT *, CASE WHEN c IS NULL THEN s1 WHEN w2 > 0 AND c1 > 0 THEN w2::DOUBLE / c1 ELSE 0.4::DOUBLE * s1 END AS s2 FROM one),
+ logs AS (SELECT doc_id, sum(ln(CASE WHEN cc IS NULL THEN s2 WHEN w3 > 0 AND c2 > 0 THEN w3::DOUBLE / c2 ELSE 0.4::DOUBLE * s2 END)) AS s FROM two GROUP BY doc_id)
 SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_words, round(coalesce(logs.s, 0), 3) AS log_score
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN logs USING (doc_id)
 """

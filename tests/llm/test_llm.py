@@ -72,8 +72,9 @@ def test_lm_scores_match_sql(spark, docs, nothing):
     wanted = sorted(con.execute(oracles.ORACLES["op2_lm_score"]).fetchall())
     assert sorted(tuple(r) for r in queries.op2_lm_score(spark, DATA).collect()) == wanted
     assert lm_score.lm_scores(docs).count() == len(base_texts()) + 1 and lm_score.lm_scores(nothing).count() == 0
-    packed = np.array([1, 2, 3], np.uint32)
-    assert lm_score.unpacked(lm_score.packed(packed), np.uint32).tolist() == [1, 2, 3]
+    numbers = np.array([1, 2, 1 << 47], np.uint64)
+    assert lm_score.unpacked(lm_score.packed(numbers)).tolist() == lm_score.unpacked(lm_score.packed(numbers, 6), 6).tolist() == numbers.tolist()
+    assert lm_score.expand(lm_score.squeeze(b"")) == b""
 
 
 def test_license_rules(spark, docs, nothing):
@@ -268,10 +269,24 @@ def test_lm_scores_back_off_from_trigrams(spark):
             total += np.log(weight * (net(g) / net(g[:-1]) if k > 1 else net(g) / (size - len(t)) if net(g) > 0 else 1 / size))
         wanted[doc] = total
     assert used
-    got = {r.doc_id: r.log_score for r in queries.op2_lm_score_trigrams(spark, DATA).collect()}
+    got = {r.doc_id: r.log_score for r in queries.op2_lm_score(spark, DATA).collect()}
     assert got.keys() == wanted.keys() and all(abs(got[d] - wanted[d]) < 2e-3 for d in wanted)
 
 
+def test_lm_scores_of_odd_rows(spark, docs):
+    texts = [*base_texts(), "null id"]
+    rows = [(i if i < len(texts) - 1 else None, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([*rows, rows[5], rows[-1]], "doc_id long, text string")
+    several = lm_score.Params(group_bytes=4000, spread=0)  # many groups and partitions
+    kept = lambda p: sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6), r.score is None) for r in lm_score.lm_scores(table, p).collect())
+    one = kept(lm_score.Params())
+    assert kept(several) == one and len(one) == len(texts) + 2
+    assert one[:3] == [(False, 0, 0, 0.0, True), (False, 1, 0, 0.0, True), (False, 2, 0, 0.0, True)]
+    repeated = [x[2:] for x in one if x[1] == 5]
+    assert len(repeated) == 2 and repeated[0] == repeated[1] and sum(x[0] for x in one) == 2
+    assert len([r for r in lm_score.lm_scores(docs).collect() if r.doc_id is None]) == 1
+
+
 def test_ann_is_exact_inside_a_group_of_near_copies(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 64)).astype(np.float32)
