@@ -38,6 +38,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS
 FROM listed LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id)
 """
 
+_MIXTURE = r"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1)::BIGINT AS tokens FROM documents),
+ totals AS (SELECT source, sum(tokens)::BIGINT AS total, count(*) AS n_docs FROM sized GROUP BY source),
+ shape AS (SELECT max(total)::DOUBLE AS top, sum(total)::DOUBLE AS every, list(total::DOUBLE / (SELECT max(total) FROM totals)::DOUBLE) AS rel, count(*) AS n FROM totals),
+ tempered AS (SELECT 0 AS i, 0::DOUBLE AS low, 8::DOUBLE AS high UNION ALL
+   SELECT i + 1, CASE WHEN e >= 0.9::DOUBLE THEN mid ELSE low END, CASE WHEN e >= 0.9::DOUBLE THEN high ELSE mid END FROM
+     (SELECT *, CASE WHEN n = 1 THEN 1 ELSE (ln(z) - list_sum(list_transform(rel, lambda t: pow(t, mid) * mid * ln(t))) / z) / ln(n) END AS e FROM
+       (SELECT *, list_sum(list_transform(rel, lambda t: pow(t, mid))) AS z FROM (SELECT i, low, high, (low + high) / 2 AS mid, rel, n FROM tempered, shape WHERE i < 42)))),
+ free AS (SELECT low AS x FROM tempered WHERE i = 42),
+ held AS (SELECT 0 AS i, 1::DOUBLE AS good, x AS bad FROM free UNION ALL
+   SELECT i + 1, CASE WHEN m <= 3 THEN mid ELSE good END, CASE WHEN m <= 3 THEN bad ELSE mid END FROM
+     (SELECT *, list_sum(rel) * list_max(list_transform(rel, lambda t: pow(t, mid) / t)) / list_sum(list_transform(rel, lambda t: pow(t, mid))) AS m FROM
+       (SELECT i, good, bad, (good + bad) / 2 AS mid, rel FROM held, shape WHERE i < 42))),
+ chosen AS (SELECT round(CASE WHEN list_sum(rel) * list_max(list_transform(rel, lambda t: pow(t, x) / t)) / list_sum(list_transform(rel, lambda t: pow(t, x))) <= 3 THEN x ELSE (SELECT good FROM held WHERE i = 42) END, 6) AS x FROM free, shape),
+ powers AS (SELECT source, total, n_docs, every, pow(total / top, x) AS power FROM totals, shape, chosen),
+ shares AS (SELECT source, total, greatest(0, ceil(log2(n_docs::DOUBLE / 2048)))::INT AS bits, power / (SELECT sum(power) FROM powers) AS weight, every FROM powers),
+ budgets AS (SELECT *, budget // total AS whole, budget % total AS rest FROM (SELECT *, round(weight * every)::BIGINT AS budget FROM shares)),
+ dealt AS (SELECT doc_id, source, tokens, weight, whole, rest, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT >> (60 - bits) AS block, ('0x' || substr(md5('7:' || whole || ':' || doc_id), 1, 15))::BIGINT AS place FROM sized JOIN budgets USING (source)),
+ placed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('7:' || whole || ':block:' || block), 1, 15))::BIGINT, block, place, doc_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "at" FROM dealt)
+SELECT doc_id, source, tokens, round(weight, 9) AS weight, (whole + CASE WHEN "at" + tokens / 2 <= rest THEN 1 ELSE 0 END)::BIGINT AS copies, block, "at" FROM placed
+"""
+
 _SHARDS = r"""
 WITH sized AS (SELECT doc_id, (strlen(coalesce(text, '')) + 64)::BIGINT AS bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
  levels AS (SELECT doc_id, bytes, d.depth::INT AS depth, h >> (60 - d.depth)::INT AS prefix FROM sized, range(0, 31) AS d(depth)),
@@ -58,4 +80,4 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id, d.doc
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id)
 """
 
-ORACLES = {"op2_lm_score": _LM, "op7_near_dedup": _NEAR, "op8_sharding": _SHARDS}
+ORACLES = {"op2_lm_score": _LM, "op6_mixing": _MIXTURE, "op7_near_dedup": _NEAR, "op8_sharding": _SHARDS}

@@ -10,6 +10,8 @@ from . import ann, bpe, licenses, lm_score, mixing, near_dedup, pii, quality_fm,
 
 #: The tokenizer that op1 and the pipeline use.
 TOKENIZER = "byte_bpe_50k.json"
+#: op6: as many tokens as the corpus has, dealt so that the mixture has nine tenths of the largest entropy (three repeats at most).
+MIXTURE = mixing.Params(entropy=0.9, repeats=3.0, epochs=1.0)
 #: Bytes that a shard of op8 may have.
 SHARD_BYTES = 4 << 20
 
@@ -54,7 +56,7 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "source", "tokens", F.round("weight", 9).alias("weight"), "copies")
+    return mixing.plan(documents(spark, sf_dir), MIXTURE).select("doc_id", "source", "tokens", F.round("weight", 9).alias("weight"), "copies", "block", "at")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,18 +135,80 @@ def test_ann_recall_and_exact_scores(spark):
 def test_mixing(spark, docs, nothing):
     rows = [(i, "w " * (i % 7 + 1), "big" if i % 10 else f"s{i % 30}") for i in range(3000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    p = mixing.Params(entropy=0.9, repeats=3.0, block_docs=64)
+    p = mixing.Params(entropy=0.9, repeats=3.0, epochs=None, block_docs=64)
     got = mixing.plan(table, p).groupBy("source").agg(F.sum("tokens").alias("t"), F.sum(F.col("copies") * F.col("tokens")).alias("out"), F.max("weight").alias("w"), F.min("copies").alias("least"), F.max("copies").alias("most")).collect()
     assert abs(sum(r.w for r in got) - 1) < 1e-9 and min(r.least for r in got) >= 1
     total = sum(r.out for r in got)
     assert all(abs(r.out / total - r.w) < 0.02 for r in got) and all(r.out <= 3.0 * r.t + 8 for r in got)
     assert mixing.mix(table, p).count() == sum(r[0] for r in mixing.plan(table, p).select("copies").collect())
     assert mixing.plan(docs).count() == len(base_texts()) + 1 and mixing.plan(nothing).count() == 0 and mixing.mix(docs).columns == docs.columns
-    even = mixing.Params(entropy=None)
+    even = mixing.Params(entropy=None, epochs=None)
     twice = table.where("doc_id < 4").union(table.where("doc_id < 4"))
     assert collections.Counter(r.doc_id for r in mixing.mix(twice, even).collect()) == {0: 2, 1: 2, 2: 2, 3: 2}
 
 
+def test_mixing_meets_its_target_in_permutations_of_blocks(spark):
+    rng = random.Random(6)
+    sources = {f"s{i}": rng.randint(60, 900) for i in range(6)} | {None: 200}
+    rows = [(n, " ".join("w" * rng.randint(0, 9)), s) for n, s in enumerate(x for x, k in sources.items() for _ in range(k))]
+    rows += [(None, "a null id", "s0"), (None, None, "s1"), (5, rows[5][1], "s0")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = collections.defaultdict(int)
+    for _, text, s in rows:
+        size[s] += max(1, len(words(text)))
+    total = sum(size.values())
+
+    def entropy(x):
+        w = [t**x for t in size.values()]
+        return -sum(v / sum(w) * np.log(v / sum(w)) for v in w) / np.log(len(w))
+
+    for p, flat in ((mixing.Params(entropy=0.98, block_docs=32), True), (mixing.Params(entropy=0.7, repeats=9.0, epochs=1.7, block_docs=32), False), (mixing.Params(entropy=0.4, repeats=1.5, block_docs=32), None)):
+        got = mixing.plan(table, p).collect()
+        weight = {r.source: r.weight for r in got}
+        x = np.log(weight["s0"] / weight["s1"]) / np.log(size["s0"] / size["s1"])
+        assert abs(sum(weight.values()) - 1) < 1e-9 and len(got) == len(rows) and all(abs(weight[s] - t**x / sum(v**x for v in size.values())) < 1e-9 for s, t in size.items())
+        passes = max(p.epochs * total * weight[s] / t for s, t in size.items())
+        if flat is None:  # the repetition limit wins
+            assert abs(passes - 1.5) < 1e-4 and entropy(x) > 0.4
+        else:
+            assert abs(entropy(x) - p.entropy) < 1e-5 and (x < 1) == flat and passes <= p.repeats
+        out = collections.Counter()
+        for r in got:
+            out[r.source] += r.copies * r.tokens
+        assert all(abs(out[s] - p.epochs * total * weight[s]) <= 10 for s in size) and len({r.copies for r in got}) > 1
+        emitted = collections.defaultdict(list)
+        for r in mixing.schedule(table, p).collect():
+            emitted[r.source, r["pass"]].append((r["at"], r.block, r.doc_id))
+        counts = collections.Counter((s, i) for (s, _), found in emitted.items() for _, _, i in found)
+        assert all(counts[r.source, r.doc_id] == r.copies * (2 if (r.source, r.doc_id) == ("s0", 5) else 1) for r in got if r.doc_id is not None)
+        tokens = {(r.source, r.doc_id): r.tokens * (2 if r.doc_id == 5 else 1) for r in got}
+        for (s, n), found in emitted.items():
+            found = sorted(set(found), key=lambda f: f[0])
+            blocks = [b for _, b, _ in found]
+            assert len(set(blocks)) == 1 + sum(a != b for a, b in zip(blocks, blocks[1:]))  # one block after the other
+            at = 0
+            for place, _, i in found:
+                assert place == at
+                at += tokens[s, i]
+        orders = [[i for _, _, i in sorted(emitted["s2", n])] for n in (0, 1) if len(emitted["s2", n]) > 30]
+        assert len(orders) < 2 or orders[0][:30] != orders[1][:30]
+    wide = table.withColumns({"s": F.lit(1), "key": F.lit(1), "pass": F.lit(1), "at": F.lit(1), "copies": F.lit("x")})
+    assert sorted(r.copies for r in mixing.plan(wide, p).collect()) == sorted(r.copies for r in got) and mixing.mix(wide, p).columns == wide.columns
+    assert mixing.schedule(table.limit(0)).count() == 0
+
+
+def test_mixing_query_matches_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    wanted = con.execute(oracles.ORACLES["op6_mixing"])
+    names = [d[0] for d in wanted.description]
+    got = queries.op6_mixing(spark, folder).select(*(f"`{n}`" for n in names)).collect()
+    assert sorted(map(tuple, got)) == sorted(wanted.fetchall())
+    copies = {s: {r.copies for r in got if r.source == s} for s in {r.source for r in got}}
+    assert len(set(map(frozenset, copies.values()))) > 1 and max(r.weight for r in got) > 1.5 * sum(r.weight for r in got) / len(got)
+
+
 def test_near_duplicates(spark, docs, nothing):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
