@@ -1,18 +1,24 @@
-"""Byte-level BPE encoding and decoding with a given vocabulary file.
-
-A text is cut before a blank or line feed that follows a letter, digit or mark: no
-pre-token of the byte-level pattern crosses such a place and none looks past it, so the
-parts' ids are the text's ids. What stays longer than a leaf is text that the tokenizer
-does not split; its long pre-tokens are encoded by tree concatenation: halves down to
-leaf size are encoded on their own, all leaves of a batch in one parallel call, then
-neighbours are joined by re-encoding a window around the join, grown until its first
-and last token agree with what both sides have there. Two tokens that stand next to
-each other in some exact encoding are compatible, and a sequence all of whose
-neighbours are compatible is the exact encoding, so agreement makes the join exact.
+"""Byte-level BPE encoding and decoding with a given vocabulary file, by tree concatenation.
+
+A text longer than two leaves is halved down to leaves, wherever that falls; all leaves of a
+batch are encoded in one parallel call. Neighbours are then joined: a window around the join
+is encoded anew, grown until both sides agree exactly, and its ids replace what both sides
+have there.
+
+Windows begin and end at borders: places where a pre-token of the byte-level pattern ends
+whatever stands elsewhere in the text, as none holds a blank or line feed after a letter,
+digit or mark, or a mark after a letter or digit, and none looks further. So a side's ids
+can be cut at a border, what lies between two borders is encoded on its own, and the sides
+agree once the window has a border on each. Where a leaf has no border within (text that the tokenizer does
+not split), the stretch between the borders around it is cut in pre-tokens; a long pre-token is a
+tree of its own, whose leaves are joined by the merges alone: a window of tokens around the
+join grows until its first and last token agree with what both sides have there. Two tokens that
+stand next to each other in some exact encoding are compatible, and a sequence all of whose
+neighbours are compatible is the exact encoding.
 
 One pass over the scan each way, no shuffle; memory is bounded by a slice of about 1 MB
 of text or one single text. Null and empty texts have no ids and decode to ''; repeated
-rows and ids give repeated rows.
+rows and ids give repeated rows, and equal texts of a slice are encoded once.
 """
 
 from __future__ import annotations
@@ -33,19 +39,28 @@ from . import textkernel as K
 
 #: The byte-level pattern of pre-tokens (a fixed value, as published with the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A place where parts can be cut: no pre-token holds a blank or line feed after such a character.
-_SAFE = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ.,;:!?])(?=[ \n])")
+#: A border: a blank or line feed after a letter, digit or mark, or a mark after a letter or digit.
+_BORDER = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ.,;:!?])(?=[ \n])|(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ\u3041-\u3096\u4E00-\u9FA5])(?=[.,;:!?。、，])")
 
 
 @dataclass(frozen=True)
 class Params:
-    """part: characters of a part that is cut at safe places; leaf: bytes of a leaf of the tree; window: tokens on each side of a join at first."""
+    """leaf: characters of a leaf of a text's tree (bytes, in a long pre-token's); reach: characters on each side of a join at first; window: tokens, in a long pre-token."""
 
-    part: int = 20_000
     leaf: int = 1_024
+    reach: int = 32
     window: int = 8
 
 
+@dataclass
+class Node:
+    """Characters begin to end of a text, with their own exact ids."""
+
+    begin: int
+    end: int
+    ids: list[int]
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if printable in Latin-1, else the next one from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -67,7 +82,9 @@ class Codec:
         self.lengths = np.zeros(max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])]) + 1, np.int64)
         for token, i in spec["model"]["vocab"].items():
             self.lengths[i] = len(token)
+        self.bytes_of = self.lengths.tolist()
         self.ranks = self.by_rank(spec)
+        self.joins = 0
 
     @functools.cached_property
     def whole(self) -> Tokenizer:
@@ -97,67 +114,85 @@ class Codec:
             return None
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={bytes(byte_of[c] for c in t): i for t, i in plain.items()}, special_tokens=added)
 
-    def encode_parts(self, parts: list[str]) -> list:
-        """Ids of texts that hold no long pre-token."""
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """Ids of texts, each by itself."""
         if self.ranks is None:
             return [x.ids for x in self.whole.encode_batch_fast(parts, add_special_tokens=False)]
         return [self.ranks.encode(x, allowed_special="all") for x in parts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        parts: list[str] = []
-        trees: list[tuple[int, str]] = []  # place among the results, pre-token in the byte alphabet
-        spans = []
+        place: dict[str, int] = {}
         for text in texts:
-            begin = len(parts)
-            for part in self.cut(text):
-                if len(part) <= 2 * self.p.part:
-                    parts.append(part)
-                    continue
-                for token in self.pretokens(part):
-                    if isinstance(token, str):
-                        parts.append(token)
-                    else:
-                        trees.append((len(parts), token[0]))
-                        parts.append("")
-            spans.append((begin, len(parts)))
-        ids = [np.array(x, np.uint32) for x in self.encode_parts(parts)]
-        for (place, _), found in zip(trees, self.trees([t for _, t in trees])):
-            ids[place] = found
-        return [ids[a] if b == a + 1 else np.concatenate([np.zeros(0, np.uint32), *ids[a:b]]) for a, b in spans]
-
-    def cut(self, text: str) -> list[str]:
-        """Parts of at most part characters where safe places allow it."""
-        if len(text) <= self.p.part:
-            return [text]
-        out, begin, last = [], 0, 0
-        for m in _SAFE.finditer(text):
-            at = m.start()
-            if at - begin > self.p.part and last > begin:
-                out.append(text[begin:last])
-                begin = last
-            last = at
-        if last > begin and len(text) - begin > self.p.part:
-            out.append(text[begin:last])
-            begin = last
-        return [*out, text[begin:]]
-
-    def pretokens(self, part: str) -> list:
-        """Strings for the tokenizer, and (pre-token,) in the byte alphabet where one is longer than two leaves.
-
-        Special tokens are split off first, as the library does. Runs of shorter pre-tokens are
-        given back to the tokenizer one by one, as they must not be split anew together with others.
-        """
-        out: list = []
-        for section in self.special.split(part) if self.special else [part]:
-            if self.special and self.special.fullmatch(section):
-                out.append(section)
-            elif section:
-                for mapped, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(section):
-                    out.append((mapped,) if len(mapped) > 2 * self.p.leaf else section[a:b])
-        return out
-
-    def trees(self, tokens: list[str]) -> list[np.ndarray]:
+            place.setdefault(text, len(place))
+        found = self.concatenated(list(place))
+        return [found[place[text]] for text in texts]
+
+    def concatenated(self, texts: list[str]) -> list[np.ndarray]:
+        sections, owner = [], []  # special tokens stand by themselves, as in the library
+        for n, text in enumerate(texts):
+            long = len(text) > 2 * self.p.leaf
+            for section in self.special.split(text) if long and self.special else [text]:
+                if section or not long:
+                    sections.append(section)
+                    owner.append(n)
+        leaves: list[str] = []
+        cuts = []
+        for section in sections:
+            n = 1 << max(0, (len(section) // self.p.leaf).bit_length() - 1)
+            at = [len(section) * i // n for i in range(n + 1)]
+            leaves += [section[a:b] for a, b in zip(at, at[1:])]
+            cuts.append(at)
+        encoded = self.encode_parts(leaves)
+        out: list[list[int]] = [[] for _ in texts]
+        first = 0
+        for section, at, n in zip(sections, cuts, owner):
+            count = len(at) - 1
+            out[n] += self.tree(section, at, encoded[first : first + count]) if count > 1 else encoded[first]
+            first += count
+        return [np.array(x, np.uint32) for x in out]
+
+    def tree(self, text: str, at: list[int], encoded: list[list[int]]) -> list[int]:
+        """The ids of text from those of its leaves, which are cut at at."""
+        level = [Node(a, b, ids) for a, b, ids in zip(at, at[1:], encoded)]
+        while len(level) > 1:
+            level = [self.concatenate(text, x, y) for x, y in zip(level[::2], level[1::2])]
+        return level[0].ids
+
+    def concatenate(self, text: str, x: Node, y: Node) -> Node:
+        """Neighbours as one: the window around their join grows until it has a border on each side, or takes a whole side."""
+        self.joins += 1
+        reach, at = self.p.reach, x.end
+        while True:
+            low, high = max(x.begin, at - reach), min(y.end, at + reach)
+            first, last = _BORDER.search(text, low + 1, at), _BORDER.search(text, at + 1, high)
+            begin = first.start() if first else x.begin if low == x.begin else None
+            end = last.start() if last else y.end if high == y.end else None
+            if begin is not None and end is not None:
+                break
+            reach *= 2
+        left, size = len(x.ids), len(text[begin:at].encode())
+        while size > 0:
+            left -= 1
+            size -= self.bytes_of[x.ids[left]]
+        right, size = 0, len(text[at:end].encode())
+        while size > 0:
+            size -= self.bytes_of[y.ids[right]]
+            right += 1
+        return Node(x.begin, y.end, x.ids[:left] + self.between(text[begin:end]) + y.ids[right:])
+
+    def between(self, part: str) -> list[int]:
+        """Ids of what stands between two borders."""
+        if len(part) <= 2 * self.p.leaf:
+            return self.encode_parts([part])[0]
+        tokens = [(mapped, part[a:b]) for mapped, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(part)]
+        long = [mapped for mapped, _ in tokens if len(mapped) > 2 * self.p.leaf]
+        trees = iter(self.trees(long))
+        short = iter(self.encode_parts([x for mapped, x in tokens if len(mapped) <= 2 * self.p.leaf]))
+        return [i for mapped, _ in tokens for i in (next(trees) if len(mapped) > 2 * self.p.leaf else next(short))]
+
+    def trees(self, tokens: list[str]) -> list[list[int]]:
+        """Ids of long pre-tokens, given in the byte alphabet."""
         leaves, counts = [], []
         for token in tokens:
             n = 1 << max(0, (len(token) // self.p.leaf).bit_length() - 1)
@@ -172,11 +207,12 @@ class Codec:
             while len(level) > 1:
                 level = [self.join(token, ends[i], level[i], level[i + 1]) for i in range(0, len(level), 2)]
                 ends = ends[1::2]
-            out.append(np.array(level[0], np.uint32))
+            out.append(level[0])
         return out
 
     def join(self, token: str, at: int, left: list[int], right: list[int]) -> list[int]:
         """The ids of two neighbours that meet at character at of token."""
+        self.joins += 1
         w = self.p.window
         while True:
             a, b = left[-w:], right[:w]

@@ -56,16 +56,34 @@ def test_bpe_is_exact(spark, docs, nothing):
 
 
 def test_bpe_joins_trees_exactly():
-    whole, small = Tokenizer.from_file(PATH), bpe.Codec(PATH, bpe.Params(part=60, leaf=8, window=1))
+    whole, small = Tokenizer.from_file(PATH), bpe.Codec(PATH, bpe.Params(leaf=8, reach=1, window=1))
     rng = random.Random(5)
     bits = ["a", "aa", "the", " ", "  ", "\n", "1", "23", "!", "'s", "é", "日本語", "😀", "<|endoftext|>", "　", "ab" * 20, "="]
-    for _ in range(600):
+    bits += [".", ",", "。", "word", "ß", "\t", "\r\n", "٣", "'ll", "I'", "\u0301"]
+    for _ in range(3000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 150)))
         ids = whole.encode(text, add_special_tokens=False).ids
         assert small.encode([text])[0].tolist() == ids
         assert small.decode([np.array(ids)]) == [whole.decode(ids, skip_special_tokens=False)]
 
 
+def test_bpe_joins_whole_documents_at_the_default_leaf(spark):
+    whole, own = Tokenizer.from_file(PATH), bpe.Codec(PATH, bpe.Params())
+    whole.no_truncation()
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    long = [t for t in texts if len(t) > 2 * own.p.leaf]
+    texts += ["ab" * 30_000, "日本語" * 9_000 + "。" + "日本" * 5_000, " " * 20_000 + "x", "a b" * 10_000, "!" * 9_000 + "'s" * 4_000, "1" * 7_000, "\n" * 5_000 + "<|endoftext|>" * 300]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(long) > 200 and own.joins > 2 * len(long)
+
+
+def test_bpe_of_repeated_and_null_rows(spark):
+    table = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "a b", "x"), (2, None, None), (2, "", "y")], "doc_id long, text string, ids string")
+    rows = bpe.decode(bpe.encode(table, PATH), PATH).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.text) for r in rows) == [(0, 2, "a b"), (1, 2, "a b"), (1, 2, "a b"), (2, 0, ""), (2, 0, "")]
+
+
 def test_lm_scores_match_sql(spark, docs, nothing):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
