@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -174,12 +174,21 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     return bound_batches(df).select(*chosen).mapInArrow(run, schema)
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that all executors share and read it from there.
 
-    The folder comes from the session's spark.checkpoint.dir; a folder is only set here where that is unset, as in tests.
+    The folder comes from the session's spark.checkpoint.dir. Where that is unset, as in tests, a folder of this machine
+    is set if Spark runs on this machine alone; else it is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not on_one_machine(df.sparkSession):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
