@@ -382,6 +382,50 @@ def test_ann_is_exact_inside_a_group_of_near_copies(spark):
         assert [found[n] for n in range(1, 11)] == np.lexsort((np.arange(4000), d))[:10].tolist()
 
 
+def brute_nearest(x, ids, q, k=10):
+    """Ids of the k nearest of rows x to row q, others than q itself."""
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    order = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
+    return [ids[i] for i in order], [d[i] for i in order]
+
+
+def test_ann_recall_of_ten_thousand_vectors(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(10_000, 24)).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(table, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    ids = np.arange(len(x))
+    hits = sum(len(got[q] & set(brute_nearest(x, ids, q)[0])) for q in range(0, 10_000, 100))
+    assert len(got) == 100 and hits >= 0.9 * 1000
+
+
+def test_ann_of_odd_magnitudes_lengths_and_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    groups = [rng.normal(size=(300, 8)) * 1e-30, rng.normal(size=(300, 12)) * 1e150, np.concatenate([rng.normal(size=(100, 5)), rng.normal(size=(100, 5)) * 1e30]), rng.normal(size=(3, 2))]
+    rows, at = [], 0
+    for x in groups:
+        rows += [(at + i, v.tolist()) for i, v in enumerate(x)]
+        at += len(x)
+    table = spark.createDataFrame([*rows, rows[0], rows[700], (rows[5][0], [9.0] * 8), (None, [1.0] * 8), (5000, [])], "vec_id long, embedding array<double>").withColumns({"rep": F.lit(1), "id": F.lit("x"), "v": F.lit(2)})
+    monkeypatch.setattr(ann, "QUERY_BYTES", 300)  # several rounds
+    got = collections.defaultdict(dict)
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0, params=ann.Params(codebooks=4, codewords=16, rerank=20)).collect():
+        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    at = 0
+    for x in groups:
+        ids = np.arange(at, at + len(x))
+        for q in range(len(x)):
+            if ids[q] % 50 == 0:
+                near, far = brute_nearest(x, ids, q)
+                found = [got[ids[q]][n] for n in sorted(got[ids[q]])]
+                assert [i for i, _ in found] == near and np.allclose([s for _, s in found], far, rtol=1e-12, atol=0)
+        at += len(x)
+    assert 5000 not in got and len(got) == 17
+
+
 def test_account_codes_end_before_what_follows(spark):
     other = next(f"ZZ{c:02d}1234ABCD56789012" for c in range(2, 99) if int("".join(str(int(x, 36)) for x in f"1234ABCD56789012ZZ{c:02d}")) % 97 == 1)
     codes = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", other]
