@@ -1,21 +1,39 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a group-by (with partial aggregation) and a join on node keys, so no
-component is ever gathered in one task; the number of rounds is logarithmic.
+component is ever gathered in one task; the number of rounds is logarithmic. A node with
+many neighbours is dealt to SALTS keys: the least of each is found, then the least of
+these, which is joined back by node and salt.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkernel import checkpoint
 
 
+#: Keys that the rows of one node or group are dealt to.
+SALTS = 64
+
+
+def salted(df: DataFrame, key: str, by: str, **totals: tuple) -> DataFrame:
+    """df with totals of key added: aggregates of aggregates, given as column: (partial, merge) pairs.
+
+    The rows of a key are dealt to SALTS keys by the hash of column by; no task needs all rows of a key.
+    """
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    dealt = df.withColumn("__salt", salt)
+    parts = dealt.groupBy(key, "__salt").agg(*(partial.alias(name) for name, (partial, _) in totals.items()))
+    whole = Window.partitionBy(key)  # SALTS rows at most
+    merged = parts.select(F.col(key).alias("__key"), F.col("__salt").alias("__part"), *(merge(F.col(name)).over(whole).alias(name) for name, (_, merge) in totals.items()))
+    return dealt.join(merged, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__part"))).drop("__salt", "__key", "__part")
+
+
 def _star(pairs: DataFrame) -> DataFrame:
     """Each node's pairs with the least of its own and its neighbours' ids."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return salted(pairs, "u", "v", m=(F.min("v"), F.min)).withColumn("m", F.least("u", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -257,13 +258,49 @@ def test_near_duplicates_chain_across_blocks(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+def test_near_duplicates_of_one_large_group(spark):
+    """6,000 near copies of one text, most of them linked through it alone, in three blocks, and a chain beside them."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(6000):
+        t, at = base[:], rng.randrange(100)
+        for k in range(rng.randint(1, 4)):
+            t[(at + k) % 100] = f"x{rng.random()}"
+        texts.append(t)
+    texts[4321] = base
+    texts += [[f"c{i}" for i in range(20 * k, 300 + 20 * k)] for k in range(10)]
+    sets = [frozenset(zip(*(t[k:] for k in range(5)))) for t in texts]
+    near = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()}
+    took = time.time() - began
+    assert took < 120
+    assert all(got[i] == got[4321] for i in range(6000) if near(i, 4321)) and sum(near(i, 4321) for i in range(6000)) > 4000
+    for i in rng.sample(range(6000), 60):
+        assert all(got[i] == got[j] for j in range(6000) if near(i, j))
+    apart = [i for i in range(6000) if got[i] == i and i != got[4321]]
+    assert all(not near(i, j) for i in apart[:20] for j in range(6000) if i != j)
+    assert {got[i] for i in range(6000, 6010)} == {6000}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    words_of = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, words_of("a")), (1, words_of("b")), (1, words_of("a")), (4, words_of("a") + " z"), (7, words_of("b") + " z"), (9, words_of("c")), (9, words_of("c")), (3, words_of("d"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep": F.lit(1), "comp": F.lit("x"), "label": F.lit(None)})
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(table).collect())
+    assert got == [(1, 1, True)] * 3 + [(3, 3, True), (4, 1, False), (7, 1, False), (9, 9, True), (9, 9, True)]
+
+
 def test_forest_does_not_depend_on_row_order():
     rng = random.Random(2)
     p = near_dedup.Params()
     texts = [" ".join(f"w{i}" if rng.random() > 0.005 else f"x{rng.random()}" for i in range(150)).encode() for _ in range(40)]
     sketch = near_dedup.sketches(*near_dedup.shingle_sets(texts, p.shingle), p.size, p.rounds)
     small = (near_dedup.K.mix(sketch) & np.uint64(0xFF)).astype(np.uint8)
-    rows = [(i % 2, i, small[i].tobytes(), t) for i, t in enumerate(texts)]
+    key = near_dedup.set_key(*near_dedup.shingle_sets(texts, p.shingle), near_dedup.KEY_SALTS[0]).tolist()
+    rows = [(i % 2, i, small[i].tobytes(), t, key[i], None) for i, t in enumerate(texts)]
     wanted = near_dedup.linked(rows, p)
     for _ in range(5):
         rng.shuffle(rows)
