@@ -17,7 +17,7 @@ Plan:
    until no round links any more; last, what is left of groups that did not become one is compared
    block by block, members that are already connected excepted. In a task sketches are compared in numpy,
    the most similar pairs are confirmed first on full sets, and pairs already connected are skipped;
-   a spanning forest returns, so no rows grow with the square of a group;
+   a member's least partner returns, so no rows grow with the square of a group;
 5. components of the confirmed links are carried back to all documents by set key.
 
 With 40 bands of 6 rows a pair at similarity 0.85 is missed with probability 6e-9, and the
@@ -26,6 +26,7 @@ estimate (6 standard deviations of slack) drops one with about 1e-8.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,6 +159,15 @@ class Forest:
         return self.root
 
 
+def stars(rows: list[tuple], forest: Forest) -> list[tuple[int, int]]:
+    """Each label of rows with the least label of its tree, where that is another one."""
+    least: dict[int, int] = {}
+    root = forest.labels().tolist()
+    for x, r in zip(root, rows):
+        least[x] = min(r[5], least.get(x, r[5]))
+    return sorted({(r[5], least[x]) for x, r in zip(root, rows) if r[5] != least[x]})
+
+
 def set_key(hashes: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
     """A key of each set that does not depend on its order."""
     state = np.zeros(len(hashes) + 1, np.uint64)
@@ -166,12 +176,12 @@ def set_key(hashes: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
 
 
 def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links among rows (side, rep, sketch, text, k1, label) of one block or pair of blocks.
+    """Links among rows (side, rep, sketch, text, k1, label) of one block or pair of blocks: a rep, and the least rep that it is connected with here.
 
-    With both sides in rows, pairs across the sides are compared, else all pairs. Rows of one label are
-    connected already (null: by themselves). Rows whose text is not the set of key k1 are another text of the
-    same id and left out. Rows are put in order first: which links the forest holds must not depend
-    on how a shuffle delivered them, else a task that runs again would return other links.
+    With both sides in rows, pairs across the sides are compared and reps are those of labels, else all pairs.
+    Rows of one label are connected already. Rows whose text is not the set of key k1 are another text
+    of the same id and left out. Rows are put in order first: the result does not depend on how a shuffle
+    delivered them, else a task that runs again could return other links.
     """
     rows = sorted(rows, key=lambda r: (r[0], r[1], r[4]))
     arrays: list[np.ndarray] = []
@@ -193,12 +203,10 @@ def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
         return []
     sides = np.array([r[0] for r in rows])
     sketch = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
-    reps = [r[1] for r in rows]
     forest = Forest(len(rows))
     first: dict[int, int] = {}
     for i, r in enumerate(rows):
-        if r[5] is not None:
-            forest.join(first.setdefault(r[5], i), i)
+        forest.join(first.setdefault(r[5], i), i)
     forest.labels()
 
     def common(x: int, y: int) -> int:
@@ -221,23 +229,17 @@ def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
         pairs.append(found)
     todo = np.concatenate(pairs) if pairs else np.zeros(0)
     todo = todo[np.argsort(todo["e"], kind="stable")] if len(todo) else todo  # the most similar first: they connect soonest
-    out: list[tuple[int, int]] = []
-
-    def link(x: int, y: int) -> None:
-        if forest.join(x, y):
-            out.append((reps[x], reps[y]))
-
     def similar(both, x, y):
         return 100 * both >= p.percent * (sizes[x] + sizes[y] - both)
 
     some = 4 * len(rows)  # these one by one; then all of a row's at once, as most are not similar
     for _, x, y in todo[:some].tolist():
         if forest.find(x) != forest.find(y) and similar(common(x, y), x, y):
-            link(x, y)
+            forest.join(x, y)
     todo, root = todo[some:], forest.labels()
     todo = todo[root[todo["x"]] != root[todo["y"]]] if len(todo) else todo
     if not len(todo):
-        return out
+        return stars(rows, forest)
     todo = todo[np.lexsort((todo["y"], todo["x"]))]
     flat = np.unique(np.concatenate(arrays), return_inverse=True)[1]
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -252,18 +254,18 @@ def linked(rows: list[tuple], p: Params) -> list[tuple[int, int]]:
             both = np.add.reduceat(mark[flat], at[:-1], dtype=np.int64)[ys]
             mark[flat[at[x] : at[x + 1]]] = False
             for y in ys[similar(both, x, ys)].tolist():
-                link(x, y)
+                forest.join(x, y)
         else:
             for y in ys.tolist():
                 if forest.find(x) != forest.find(y) and similar(common(x, y), x, y):
-                    link(x, y)
-    return out
+                    forest.join(x, y)
+    return stars(rows, forest)
 
 
 def verified(members: DataFrame, texts: DataFrame, p: Params, turn: int = 0, pairs: bool = False) -> DataFrame:
-    """Links (a, b) within blocks of the groups of members (rep, k1, sketch, n_shingles, comp, label), or with pairs across these blocks.
+    """Links (a, b) of labels within blocks of the groups of members (rep, k1, sketch, n_shingles, comp, label), or with pairs across these blocks.
 
-    Blocks differ from turn to turn.
+    Within blocks, a label is linked once; b is the least label. Blocks differ from turn to turn.
     """
     sized = salted(members, "comp", "rep", n=(F.count("*"), F.sum), all_shingles=(F.sum("n_shingles"), F.sum))
     blocks = F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("all_shingles") / p.block_shingles))
@@ -296,25 +298,26 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket", "lo")
     groups = checkpoint(components(banded.join(shared, "bucket").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))))
     texts = docs.select(F.col("id").cast("long").alias("rep"), F.encode("text", "utf-8").alias("text")).where("rep IS NOT NULL AND text IS NOT NULL")
-    named = classes.select("rep", "k1", "sketch", "n_shingles").join(groups, F.col("rep") == F.col("node")).drop("node").withColumn("label", F.lit(None).cast("long"))
+    named = classes.select("rep", "k1", "sketch", "n_shingles").join(groups, F.col("rep") == F.col("node")).drop("node").withColumn("label", F.col("rep"))
     links = checkpoint(verified(named, texts, p))
     large = F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("all_shingles") / p.block_shingles)) > 1
-    rest = checkpoint(salted(named, "comp", "rep", n=(F.count("*"), F.sum), all_shingles=(F.sum("n_shingles"), F.sum)).where(large).drop("n", "all_shingles", "label"))
+    rest = checkpoint(salted(named, "comp", "rep", n=(F.count("*"), F.sum), all_shingles=(F.sum("n_shingles"), F.sum)).where(large).drop("n", "all_shingles"))
     if rest.isEmpty():
         return links
     texts = checkpoint(texts.join(rest.select("rep").distinct(), "rep"))
-    turn = 0
+    found, more, turn = [links], links, 0
     while True:  # contraction: the least members of what is connected stand for the rest
+        renamed = more.select(F.col("a").alias("label"), F.col("b").alias("least"))
+        rest = checkpoint(rest.join(renamed, "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least"))
         turn += 1
-        labels = components(links).select(F.col("node").alias("rep"), F.col("comp").alias("label"))
-        known = checkpoint(rest.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-        roots = known.where("rep = label").withColumn("label", F.lit(None).cast("long"))
-        more = checkpoint(verified(roots, texts, p, turn))
+        more = checkpoint(verified(rest.where("rep = label"), texts, p, turn))
         if more.isEmpty():
             break
-        links = checkpoint(links.union(more))
-    apart = salted(known, "comp", "rep", lo=(F.min("label"), F.min), hi=(F.max("label"), F.max)).where("lo < hi").drop("lo", "hi")
-    return links.union(verified(checkpoint(apart), texts, p, pairs=True))
+        found.append(more)
+    apart = checkpoint(salted(rest, "comp", "rep", lo=(F.min("label"), F.min), hi=(F.max("label"), F.max)).where("lo < hi").drop("lo", "hi"))
+    if not apart.isEmpty():
+        found.append(verified(apart, texts, p, pairs=True))
+    return functools.reduce(DataFrame.union, found)
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ about 2**-64 a pair.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -192,3 +193,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove shuffle and checkpoint files of steps that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which many short steps alone do not bring about.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

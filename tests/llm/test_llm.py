@@ -300,7 +300,7 @@ def test_forest_does_not_depend_on_row_order():
     sketch = near_dedup.sketches(*near_dedup.shingle_sets(texts, p.shingle), p.size, p.rounds)
     small = (near_dedup.K.mix(sketch) & np.uint64(0xFF)).astype(np.uint8)
     key = near_dedup.set_key(*near_dedup.shingle_sets(texts, p.shingle), near_dedup.KEY_SALTS[0]).tolist()
-    rows = [(i % 2, i, small[i].tobytes(), t, key[i], None) for i, t in enumerate(texts)]
+    rows = [(i % 2, i, small[i].tobytes(), t, key[i], i) for i, t in enumerate(texts)]
     wanted = near_dedup.linked(rows, p)
     for _ in range(5):
         rng.shuffle(rows)
