@@ -3,11 +3,13 @@
 A directory is indexed by leading bits of a hash of the row's key. A bucket whose bytes
 exceed the limit splits on its next bit, others stay: a bucket is a shard when it fits and
 its parent did not. Bytes are summed once per directory entry (partial aggregation), so
-rows are never gathered; texts are not shuffled, only their sizes are.
+rows are never gathered; texts are not shuffled, only their sizes are. The directory has one
+row for each value of its bits, which names the shard: a row finds its shard by one join.
 
 The directory has depth bits, chosen from the total so that entries are about 1/16 of the
-limit; entries that still exceed it are cut on by further bits in another round, and a
-bucket of rows with equal hashes (repeated rows) is dealt to numbered pages.
+limit; entries that still exceed it have a directory of further bits of their own, in another
+round. Rows of equal hash (rows of one id) that exceed the limit are dealt to pages: runs of
+at most PAGE_ROWS rows, as they lie in the scan, are cut by themselves.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .textkernel import checkpoint
 
-#: Bits of the hash that can be used.
-MOST_BITS = 60
+#: Bits of the hash that can be used; rows of equal hash that are cut in pages together.
+MOST_BITS, PAGE_ROWS = 60, 4096
 
 
 def key_hash(*columns: Column) -> Column:
@@ -49,43 +51,59 @@ def split_round(sizes: DataFrame, limit: int, low: int, high: int) -> DataFrame:
     return found.union(leaves.where(F.col("depth") == 0).select(*names)) if low == 0 else found
 
 
+def directory(leaves: DataFrame, high: int) -> DataFrame:
+    """One row for each value of the leading high bits that leaves cover: entry, depth, prefix, shard_bytes."""
+    wide = (F.lit(high) - F.col("depth")).cast("int")
+    first = F.call_function("shiftleft", F.col("prefix"), wide)
+    last = first + F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1
+    return leaves.select(F.explode(F.sequence(first, last)).alias("entry"), "depth", "prefix", F.col("bytes").alias("shard_bytes"))
+
+
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, bytes, shard (depth:prefix, with :page where rows of one hash overflow), shard_bytes.
+    """One row a document: doc_id, bytes, shard (depth:prefix, with :run:page where rows of one hash overflow), shard_bytes.
 
     A document's size is its text's UTF-8 length plus 64 bytes; null text has length 0. A document larger
     than the limit is alone with those whose hashes equal its own. Repeated rows have equal hashes:
-    where they exceed the limit together they are numbered and dealt to pages of the limit; a single row
-    above the limit is a page of its own. Null ids hash as the empty text. An empty table gives no rows.
+    where they exceed the limit together they are dealt to pages that do not; a single row
+    above the limit is in a page above it. Null ids hash as the empty text. An empty table gives no rows.
     """
-    sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 64).cast("long").alias("bytes"), key_hash(F.col(f"`{id_col}`")).alias("h"))
+    sized = checkpoint(
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 64).cast("long").alias("bytes"), key_hash(F.col(f"`{id_col}`")).alias("h"), F.monotonically_increasing_id().alias("row"))
+    )
     total = sized.agg(F.sum("bytes")).first()[0] or 0
-    high = min(MOST_BITS, max(4, math.ceil(math.log2(max(1, total / limit))) + 4))
-    entries = sized.withColumn("entry", bits_at(F.col("h"), high))
-    sizes = entries.groupBy(F.col("entry").alias("h")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n_rows"))
-    directory = None
-    low = 0
+    low, high = 0, min(MOST_BITS, max(4, math.ceil(math.log2(max(1, total / limit))) + 4))
+    name = F.concat_ws(":", F.col("depth").cast("string"), F.col("prefix").cast("string"))
+    out, over = None, F.col("shard_bytes") > limit
     while True:
+        sizes = sized.groupBy(bits_at(F.col("h"), high).alias("h")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n_rows"))
         leaves = checkpoint(split_round(sizes, limit, low, high))
-        directory = leaves if directory is None else directory.where((F.col("depth") < low) | (F.col("bytes") <= limit)).union(leaves)
-        left = directory.where((F.col("depth") == high) & (F.col("bytes") > limit))
-        if high == MOST_BITS or left.isEmpty():
+        found = sized.join(directory(leaves, high), bits_at(F.col("h"), high) == F.col("entry"))
+        fit = found.where(~over).select("doc_id", "bytes", name.alias("shard"), "shard_bytes")
+        out = fit if out is None else out.union(fit)
+        if leaves.where(F.col("bytes") > limit).isEmpty():
+            return out
+        if high == MOST_BITS:
             break
-        low, before, high = high, high, min(MOST_BITS, high + 12)
-        wide = left.select(F.col("prefix").alias("wide"))
-        sizes = sized.join(wide, bits_at(F.col("h"), before) == F.col("wide"), "left_semi").groupBy(bits_at(F.col("h"), high).alias("h")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n_rows"))
-    depths = [r[0] for r in directory.select("depth").distinct().collect()]  # at most MOST_BITS + 1 numbers
-    entries = sized.withColumn("at", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), bits_at(F.col("h"), d).alias("prefix")) for d in sorted(depths))))) if depths else sized.withColumn("at", F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix")))
-    placed = entries.select("doc_id", "bytes", F.col("at.depth").alias("depth"), F.col("at.prefix").alias("prefix")).join(directory.select("depth", "prefix", F.col("bytes").alias("shard_bytes")), ["depth", "prefix"])
-    name = F.concat_ws(":", F.col("depth").cast("string"), F.col("prefix").cast("string"))
-    fit = placed.where(F.col("shard_bytes") <= limit).select("doc_id", "bytes", name.alias("shard"), "shard_bytes")
-    # rows of one hash that exceed the limit together: numbered by size, then dealt to pages
-    same = Window.partitionBy("depth", "prefix").orderBy("bytes", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pages = placed.where(F.col("shard_bytes") > limit).withColumn("page", F.floor((F.row_number().over(same) - 1) / F.greatest(F.floor(F.lit(limit) / F.max("bytes").over(Window.partitionBy("depth", "prefix"))), F.lit(1))))
-    paged = pages.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("depth", "prefix", "page"))).select("doc_id", "bytes", F.concat_ws(":", name, F.col("page").cast("string")).alias("shard"), "shard_bytes")
-    return fit.union(paged)
-
-
-def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as Parquet under path, a folder shard=... for each shard. Ids must be unique."""
-    places = shard(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard")
-    docs.join(places, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)
+        sized = checkpoint(found.where(over).select("doc_id", "bytes", "h", "row"))
+        low, high = high, min(MOST_BITS, high + 12)
+    run = found.where(over).withColumn("run", F.floor(F.col("row") / PAGE_ROWS))
+    own = Window.partitionBy("prefix", "run")
+    rows = F.greatest(F.floor(F.lit(limit) / F.max("bytes").over(own)), F.lit(1))
+    paged = run.withColumn("page", F.floor((F.row_number().over(own.orderBy("row")) - 1) / rows))
+    paged = paged.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("prefix", "run", "page")))
+    return out.union(paged.select("doc_id", "bytes", F.concat_ws(":", name, F.col("run").cast("string"), F.col("page").cast("string")).alias("shard"), "shard_bytes"))
+
+
+def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write docs as Parquet under path, a folder for each shard; returns the name of the folders' column.
+
+    It is shard, with underscores before it where docs has such a column. All rows of an id go to one
+    folder, the first of its shards by name, so only where an id repeats may a folder exceed the limit.
+    """
+    column = "shard"
+    while column in {c.lower() for c in docs.columns}:
+        column = f"_{column}"
+    places = shard(docs, limit, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.min("shard").alias("__shard"))
+    named = docs.join(places, F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))).drop("__id").withColumnRenamed("__shard", column)
+    named.repartition(column).write.partitionBy(column).parquet(path)
+    return column

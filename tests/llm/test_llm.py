@@ -314,9 +314,27 @@ def test_sharding(spark, docs, nothing):
     for r in rows:
         size[r.shard] += r.bytes
     assert len(rows) == 2400 and max(size.values()) <= 8000 and all(size[r.shard] == r.shard_bytes for r in rows)
+    assert len({r.shard for r in rows}) < 3 * sum(size.values()) / 8000  # pages and shards are not slivers
+    nulls = spark.createDataFrame([(None, "z" * 100)] * 3000 + [(None, None), (1, "z" * 20_000)], "doc_id long, text string")
+    parts = collections.Counter()
+    for r in sharding.shard(nulls, 8000).collect():
+        parts[r.shard] += r.bytes
+    assert sum(x > 8000 for x in parts.values()) == 1 and sum(parts.values()) == 3000 * 164 + 64 + 20_064
     assert sharding.shard(docs, 1 << 20).count() == len(base_texts()) + 1 and sharding.shard(nothing, 100).count() == 0
 
 
+def test_written_shards_hold_every_row(spark, docs, nothing, tmp_path):
+    table = spark.createDataFrame([(i, "y" * (i % 700), f"s{i}", "k") for i in range(500)] + [(5, "again", "t", "k"), (None, None, None, None)], "doc_id long, text string, shard string, bytes string")
+    column = sharding.write_shards(table, 20_000, str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a"))
+    key = lambda r: tuple(map(repr, r))
+    assert column == "_shard" and sorted(map(key, back.select(table.columns).collect())) == sorted(map(key, table.collect()))
+    assert back.where("doc_id = 5").select(column).distinct().count() == 1
+    sizes = [r[0] for r in back.groupBy(column).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64)).select(F.col("sum((coalesce(length(text), 0) + 64))")).collect()]
+    assert len(sizes) > 8 and max(sizes) <= 20_000 + 69
+    assert sharding.write_shards(docs, 1 << 20, str(tmp_path / "b")) == "shard" and spark.read.parquet(str(tmp_path / "b")).count() == len(base_texts()) + 1
+
+
 def test_quality_measures(spark, docs, nothing):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
