@@ -1,27 +1,31 @@
 """License scan by ordered signature rules.
 
-Texts are normalised to lower-case words joined by single blanks. Several hundred rules
-(regular expressions over normalised words, written per license family) are gated by a
-keyword that each needs: a text without the keyword never meets the rule's expression.
-Overlapping detections are resolved by priority and containment: one that lies inside a
-detection of higher priority, or of equal priority that is longer, is suppressed. Base
-phrases are rules of their own that nothing suppresses.
-
-One pass over the scan, no shuffle. Null or empty text has no words, no labels and score 0;
-repeated rows give repeated results.
+Texts are normalised to lower-case words joined by single blanks. Several hundred rules are
+regular expressions over such words: sentences of license texts and notices, written by hand
+(signatures.py), and for each license family its tag, its address, its name in a grant, beside the
+word license and, where the name is no common word, by itself. Each rule needs keywords;
+one automaton finds those of all rules in one pass over a text, and only rules whose keywords are there
+are tried. Overlapping detections are resolved by priority and containment: one that
+lies inside a detection of higher priority, or of equal priority that is longer, or of equal span
+that is listed earlier, is suppressed. Base phrases are rules of their own that nothing suppresses.
+
+One pass over the scan, no shuffle.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as K
+from .signatures import SIGNATURES
 
 #: Bytes that end a word become blanks, A-Z become a-z.
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -86,23 +90,19 @@ FAMILIES = (
     ("pddl-1", "public domain dedication and license", "pddl 1 0", "opendatacommons org licenses pddl"),
 )
 
-#: Texts that mark a license without its name: label, expression, keyword, priority.
+#: Loose mentions: label, expression, priority.
 MARKS = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "with or without fee", 95),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "binary forms", 95),
-    ("gpl", "this program is free software you can redistribute it and or modify it", "free software", 90),
-    ("gpl", "gnu general public licen[cs]e", "general public", 40),
-    ("lgpl", "gnu lesser general public licen[cs]e", "lesser general", 45),
-    ("public-domain", "(?:released into|dedicated to|placed in) the public domain", "public domain", 60),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved", 60),
-    ("creative-commons", "creative commons", "creative commons", 30),
-    ("non-commercial", "(?:for )?non ?commercial use only", "commercial use only", 50),
+    ("gpl", "gnu general public licen[cs]e", 40),
+    ("lgpl", "gnu lesser general public licen[cs]e", 45),
+    ("public-domain", "(?:released into|dedicated to|placed in) the public domain", 60),
+    ("all-rights-reserved", "all rights reserved", 60),
+    ("creative-commons", "creative commons", 30),
 )
 
-
-#: Strings one of which a text must hold for any rule other than marks and addresses to match.
-GRANT, TERMS, NAMED = (b" under ",), (b"subject to ", b"governed by ", b"according to "), (b"licen",)
+#: Families whose names are common words or short: a rule needs the word license beside them.
+SHORT_NAMES = {"mit", "apache-2", "apache-1.1", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "cc-by"}
+#: Strings one of which a text must hold for a name in a grant, or beside the word license, to match.
+GRANT, NAMED = (" under ", " subject to ", " governed by ", " according to "), ("licen",)
 
 
 @dataclass(frozen=True)
@@ -111,62 +111,80 @@ class Rule:
 
     label: str
     pattern: re.Pattern
-    gates: tuple[tuple[bytes, ...], ...]
+    gates: tuple[tuple[str, ...], ...]
     priority: int
     weight: float
     base: bool = False
 
-    def open(self, line: bytes) -> bool:
-        return all(any(key in line for key in group) for group in self.gates)
-
-
-def keywords(name: str) -> tuple[bytes, ...]:
-    """For each alternative that a name may begin with, its longest run of plain characters."""
-    heads, depth, begin = [], 0, 0
-    if name.startswith("(?:"):
-        for i, c in enumerate(name):
-            depth += (c == "(") - (c == ")")
-            if depth == 1 and c in "|(" or depth == 0:
-                heads.append(name[begin:i])
-                begin = i + 1
-            if depth == 0:
-                break
-        heads = [h.removeprefix("?:") for h in heads if h]
+
+def alternatives(expression: str) -> list[str]:
+    """What an expression, or the group that it begins with, chooses from."""
+    out, depth, begin = [], 0, 0
+    inner = 1 if expression.startswith("(?:") else 0
+    for i, c in enumerate(expression):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == inner:
+            out.append(expression[begin:i])
+            begin = i + 1
+        if inner and depth == 0:
+            return [x.removeprefix("(?:") for x in [*out, expression[begin:i]]] if not expression.startswith("?", i + 1) else [expression]
+    return [*out, expression[begin:]]
+
+
+def keywords(expression: str) -> tuple[str, ...]:
+    """For each alternative its longest run of plain characters, behind the blank that any match follows if it is the first."""
     out = []
-    for plain in heads or [name]:
+    for plain in alternatives(expression):
         plain = re.sub(r"\[[^]]*\]\??", "\0", plain)
         while re.search(r"\([^()]*\)", plain):
-            plain = re.sub(r"\([^()]*\)\??", "\0", plain)
-        out.append(max(re.split("[\0()|]", re.sub(r".\?", "\0", plain)), key=len).strip().encode())
+            plain = re.sub(r"\([^()]*\)(?:\?|\{[0-9,]*\}\??)?", "\0", plain)
+        runs = re.split("[\0()|]", re.sub(r".\?", "\0", plain))
+        longest = max(runs, key=len)
+        out.append((" " if runs[0] == longest else "") + longest.strip())
     return tuple(out)
 
 
 @functools.lru_cache(maxsize=1)
 def ruleset() -> tuple[Rule, ...]:
-    """All rules, the highest priority first. A family has rules for its SPDX tag, its address, grants by name and its bare name."""
+    """All rules, the highest priority first."""
 
-    def rule(label: str, expression: str, priority: int, weight: float, *gates: tuple[bytes, ...], base: bool = False) -> Rule:
-        return Rule(label, re.compile(rb"(?<= )" + expression.encode() + rb"(?= )"), gates, priority, weight, base)
+    def rule(label: str, expression: str, priority: int, weight: float, *gates: tuple[str, ...], base: bool = False) -> Rule:
+        return Rule(label, re.compile(rb"(?<= )(?:" + expression.encode() + rb")(?= )"), gates, priority, weight, base)
 
-    out = [rule(label, phrase, 100, 0.9, (phrase.encode(),), base=True) for phrase, label in BASE]
-    out += [rule(label, expression, priority, priority / 100, (keyword.encode(),)) for label, expression, keyword, priority in MARKS]
+    out = [rule(label, phrase, 100, 0.9, (phrase,), base=True) for phrase, label in BASE]
+    out += [rule(label, expression, priority, priority / 100, keywords(expression)) for expression, label, priority in SIGNATURES]
+    out += [rule(label, expression, priority, priority / 100, keywords(expression)) for label, expression, priority in MARKS]
     for label, name, spdx, address in FAMILIES:
         keys = keywords(name)
-        out.append(rule(label, f"spdx license identifier {spdx}(?: or later| only)?", 90, 0.95, (b"spdx license identifier ",)))
-        out.append(rule(label, f"(?:https? )?{address}", 80, 0.85, (address.encode(),)))
-        out.append(rule(label, f"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?", 70, 0.9, GRANT, keys))
-        out.append(rule(label, f"(?:subject to|governed by|according to) (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?", 65, 0.8, TERMS, keys))
-        out.append(rule(label, f"(?:licen[cs]e|license type|licence type) {name}", 60, 0.7, NAMED, keys))
-        out.append(rule(label, f"(?:the )?{name}(?: public)? licen[cs]e", 55, 0.6, NAMED, keys))
+        out.append(rule(label, f"spdx license identifier {spdx}(?: or later| only)?", 99, 0.95, (f"spdx license identifier {spdx}",)))
+        out.append(rule(label, f"(?:https? )?{address}", 80, 0.85, (address,)))
+        terms = "(?:the )?(?:terms of )?(?:the )?"
+        out.append(rule(label, f"(?:licensed under|released under|distributed under|available under|published under|provided under|covered under|subject to|governed by|according to) {terms}{name}(?: licen[cs]e)?", 70, 0.9, GRANT, keys))
+        out.append(rule(label, f"(?:licen[cs]e(?: type)? {name}|(?:the )?{name}(?: public)? licen[cs]e)", 58, 0.6, NAMED, keys))
+        if label not in SHORT_NAMES:
+            out.append(rule(label, name, 50, 0.5, keys))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 @functools.lru_cache(maxsize=1)
-def gates() -> tuple[bytes, ...]:
-    """Strings one of which any text must hold for any rule to match."""
-    common = (*GRANT, *TERMS, *NAMED, b" www ", b" org ", b" com ", b"creativecommons org", b"opensource org", b"unlicense org", b"opendatacommons org")
-    rest = {group[0] for r in ruleset() for group in r.gates[:1] if not any(any(g in key for g in common) for key in group)}
-    return (*common, *sorted(rest))
+def prefilter() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
+    """The automaton of all keywords; for each keyword of a rule's last group, the rules' numbers."""
+    machine, rules = ahocorasick.Automaton(), collections.defaultdict(list)
+    for n, r in enumerate(ruleset()):
+        for key in {k for group in r.gates for k in group}:
+            machine.add_word(key, key)
+        for key in r.gates[-1]:
+            rules[key].append(n)
+    machine.make_automaton()
+    return machine, dict(rules)
+
+
+def candidates(line: bytes) -> list[Rule]:
+    """The rules whose keywords line holds, the highest priority first."""
+    machine, rules = prefilter()
+    there = {key for _, key in machine.iter(line.decode("latin-1"))}
+    numbers = {n for key in there for n in rules.get(key, ())}
+    return [r for r in map(ruleset().__getitem__, sorted(numbers)) if all(not there.isdisjoint(group) for group in r.gates)]
 
 
 def normalise(text: bytes | None) -> list[bytes]:
@@ -196,9 +214,7 @@ def scan(text: bytes | None) -> tuple[int, list[tuple[int, int, Rule]]]:
     """Number of words; detections (first word, word after the last, rule)."""
     words = normalise(text)
     line = b" " + b" ".join(words) + b" "
-    if not any(key in line for key in gates()):
-        return len(words), []
-    found = [(a, b, r) for r in ruleset() if r.open(line) for a, b in _places(r, line)]
+    found = [(a, b, r) for r in candidates(line) for a, b in _places(r, line)]
     if not found:
         return len(words), []
     place, at, count = {}, 0, -1
@@ -213,7 +229,12 @@ SCHEMA = "doc_id long, n_words long, detections array<struct<label:string,first:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_words and its detections (words first to last, from 0), in order of place."""
+    """One row a document: doc_id, n_words and its detections (words first to last, from 0), in order of place.
+
+    Null and empty texts, and those without words, have no words and no detections. Repeated rows and rows of
+    null id are scanned like others. Of detections with equal span and priority the rule listed first stays.
+    Ids are whole numbers; a text id that is none is an error. An empty table gives no rows.
+    """
     kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("priority", pa.int32()), ("weight", pa.float64()), ("base", pa.bool_())]))
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -105,6 +105,61 @@ def test_license_rules(spark, docs, nothing):
     assert licenses.license_scan(nothing).count() == 0
 
 
+def sample_match(tree, rng):
+    """A random string that an expression's parse tree matches."""
+    out = ""
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            first = rng.choice(arg)
+            out += rng.choice("abz09") if str(first[0]) == "CATEGORY" else chr(first[1] if str(first[0]) == "LITERAL" else rng.randint(*first[1]))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif kind == "SUBPATTERN":
+            out += sample_match(arg[3], rng)
+        elif kind == "BRANCH":
+            out += sample_match(rng.choice(arg[1]), rng)
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+    return out
+
+
+def ungated(line):
+    found = [(a, b, r) for r in licenses.ruleset() for a, b in licenses._places(r, line)]
+    return sorted((a, b, r.label) for a, b, r in found if r.base or not any((c, d) != (a, b) and c <= a and b <= d and q.priority >= r.priority or (c, d) == (a, b) and licenses.ruleset().index(q) < licenses.ruleset().index(r) and q.priority >= r.priority for c, d, q in found))
+
+
+def test_license_rules_equal_a_scan_without_gates(spark):
+    rng = random.Random(31)
+    rules = licenses.ruleset()
+    samples = [(r, sample_match(re._parser.parse(r.pattern.pattern.decode()), rng)) for r in rules for _ in range(4)]
+    for r, text in samples:
+        line = b" " + text.strip().encode() + b" "
+        assert r.pattern.search(line) and r in licenses.candidates(line), (r.label, text)
+    filler = "the word under a license subject to mit gnu public 2 0 of terms cc by nc version".split()
+    texts = [" ".join([*rng.choices(filler, k=rng.randint(0, 6)), *(x for _ in range(rng.randint(0, 4)) for x in (rng.choice(samples)[1], rng.choice(filler)))]) for _ in range(400)]
+    texts += ["Licensed under the MIT License. " * 2000, *(r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())]
+    for text in texts:
+        words_, found = licenses.scan((text or "").encode())
+        line = b" " + b" ".join(licenses.normalise((text or "").encode())) + b" "
+        wanted = sorted((line.count(b" ", 0, a) - 1, line.count(b" ", 0, b), label) for a, b, label in ungated(line)) if len(line) < 20_000 else None
+        assert wanted is None or sorted(found and [(a, b, r.label) for a, b, r in found]) == wanted
+    assert len([1 for _, _, r in licenses.scan(texts[400].encode())[1] if r.base]) == 2000
+
+
+def test_license_headings_and_repeated_rows(spark):
+    heads = {"Mozilla Public License Version 2.0": "mpl-2", "Boost Software License - Version 1.0": "boost-1", "Eclipse Public License - v 2.0": "epl-2", "SIL Open Font License Version 1.1": "ofl-1.1", "GNU General Public License version 3": "gpl-3", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd"}
+    table = spark.createDataFrame([(i, h, "x") for i, h in enumerate(heads)] + [(0, "Mozilla Public License Version 2.0", "x"), (None, "licensed under the MIT license", "x"), (90, "mit dem Hund; an apache 2 helicopter", "x")], "doc_id long, text string, detections string")
+    got = licenses.license_scan(table).collect()
+    assert len(got) == len(heads) + 3 and all(list(heads.values())[r.doc_id] in {d.label for d in r.detections} for r in got if r.doc_id is not None and r.doc_id < 90)
+    assert sum(r.doc_id == 0 for r in got) == 2 and [d.label for r in got if r.doc_id is None for d in r.detections][0] == "mit" and [r.detections for r in got if r.doc_id == 90] == [[]]
+    spans = [licenses.Rule("a", None, (), 60, 0.6), licenses.Rule("b", None, (), 60, 0.6), licenses.Rule("c", None, (), 70, 0.7)]
+    keep = lambda *found: [r.label for _, _, r in licenses.resolve(list(found))]
+    assert keep((0, 5, spans[0]), (0, 5, spans[1])) == ["a"] and keep((0, 9, spans[0]), (2, 5, spans[2])) == ["a", "c"] and keep((0, 9, spans[2]), (2, 9, spans[0])) == ["c"]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
