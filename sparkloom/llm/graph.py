@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = salted(both, "u", "v", m=(F.min("v"), F.min)).withColumn("m", F.least("u", "m"))
-        large = large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))  # a node with many lesser neighbours is rare after the step before
         small = large.join(least, F.col("u") == F.col("node"))
         edges = checkpoint(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
