@@ -12,7 +12,7 @@ class Server:
     port: int = 8080
     host: str = "localhost"
     timeout: int = 30
-    max_request_size_mb: float = 15
+    max_request_size_mb: float = 15.0
 
 
 @dataclass
@@ -22,7 +22,7 @@ class Batch:
     max_memory_before_spill: int = 2 << 30
     max_file_size_mb: int = 500
     should_download: bool = False
-    max_download_size_mb: float = 10
+    max_download_size_mb: float = 10.0
 
 
 @dataclass

@@ -1,6 +1,6 @@
 """Relational operators as functions from DataFrame to DataFrame (usable with DataFrame.transform).
 
-Each builds a logical plan only; Catalyst and AQE choose the physical one.
+Each builds a logical plan only, but for ranked(), which sorts at once; Catalyst and AQE choose the physical one.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import column, output_name, require_boolean, type_of
+from ..session import checkpoint
 
 
 def _resolve(c: str | Column) -> Column:
@@ -197,6 +198,29 @@ def sort(df: DataFrame, *keys: Column) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def ranked(df: DataFrame, name: str, *keys: Column) -> DataFrame:
+    """df with the place of each row in the order of keys, from 1, as column name.
+
+    Rows are sorted by range and counted a partition; no task needs all rows. Ties are in any order, but in one.
+    """
+    held = checkpoint(sort(df, *keys).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.call_function("shiftright", F.col("__at"), F.lit(33))
+    counts = sorted(held.groupBy(part.cast("int").alias("part")).count().collect())  # a number a partition
+    before, starts = 0, []
+    for number, n in counts:
+        starts.append((number, before))
+        before += n
+    at = df.sparkSession.createDataFrame(starts, "__part int, __before long")
+    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.join(F.broadcast(at), part.cast("int") == F.col("__part")).withColumn(name, rank).select(*(column(c) for c in [*df.columns, name]))
+
+
+#: Rows beyond which the first rows of an order are found by a sort by range; fewer fit the heap of one task.
+HEAP_ROWS = 1_000_000
+
+
 def top_k(df: DataFrame, k: int, *keys: Column) -> DataFrame:
-    """The first k rows in order of keys, by a bounded heap in each task."""
-    return limit(sort(df, *keys), k)
+    """The first k rows in order of keys: by a bounded heap in each task, or for a large k by a sort by range."""
+    if k <= HEAP_ROWS:
+        return limit(sort(df, *keys), k)
+    return sort(ranked(df, "__rank", *keys).where(F.col("__rank") <= k), F.col("__rank")).drop("__rank")

@@ -6,12 +6,15 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as X
 from .. import operators as O
 from .. import service, sources
+from ..session import shared_folder
+from ..streaming import read_folder, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -41,7 +44,14 @@ def oracle_sql() -> dict[str, str]:
 
 
 c, lit = F.col, F.lit
-_rank = lambda *keys: F.row_number().over(Window.orderBy(*keys)).cast("bigint")
+
+
+def _ranked(df: DataFrame, columns: list, shown: list[str], **orders: list) -> DataFrame:
+    """Columns of a table with a place in each of the given orders, in the first of them."""
+    df = df.select(*columns)
+    for name, keys in orders.items():
+        df = O.ranked(df, name, *keys)
+    return O.sort(df.select(*shown, *orders), c(next(iter(orders))))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +75,7 @@ _add(
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/scratch-{os.getpid()}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/scratch-{os.getpid()}-{uuid.uuid4().hex}"
 
 
 def _csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +100,41 @@ _add("scan_json_roundtrip", _json_round_trip, "SELECT r_regionkey::bigint r_regi
 _add("sink_parquet_roundtrip", _parquet_round_trip, "SELECT r_regionkey::bigint r_regionkey, r_name FROM region")
 _add("scan_memory", lambda spark, d: sources.memory(spark, ["id", "name"], [[1, 2, 3], ["a", None, "c"]]), "SELECT id::bigint id, name FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) t(id, name)")
 
+
+
+def _text_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    sources.parquet(spark, f"{d}/nation.parquet", ["n_name"]).write.text(path := _scratch(spark))
+    return sources.open_source(spark, path, "text/plain")
+
+
+_TYPED = {"i8": pa.array([1, None, -3], pa.int8()), "u16": pa.array([1, None, 65535], pa.uint16()), "i32": pa.array([4, None, 6], pa.int32()), "f32": pa.array([1.5, None, -2.25], pa.float32()), "ok": pa.array([True, None, False]), "name": pa.array(["a", None, ""])}
+_add("scan_text", _text_round_trip, "SELECT n_name AS value FROM nation")
+_add("scan_memory_typed", lambda spark, d: sources.memory(spark, [*_TYPED], [*_TYPED.values()]), "SELECT i8::tinyint i8, u16::int u16, i32::int i32, f32::float f32, ok, name FROM (VALUES (1, 1, 4, 1.5, true, 'a'), (NULL, NULL, NULL, NULL, NULL, NULL), (-3, 65535, 6, -2.25, false, '')) t(i8, u16, i32, f32, ok, name)")
+
+# Streams
+
+
+def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events by hour and kind, counted by a stream that reads what is there and ends."""
+    schema = sources.parquet(spark, f"{d}/events.parquet").schema
+    totals = windowed(read_folder(spark, f"{d}/events.parque[t]", schema).withColumn("ts", c("ts").cast("timestamp")), "ts", "1 hour", "1 day", ["event_type"], O.Agg("count", "*", "n"))
+    out = _scratch(spark)
+    write = lambda df, _: df.write.mode("overwrite").parquet(out)
+    totals.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", c("n").cast("bigint").alias("n"))
+
+
+_add("stream_windows", _stream_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+
 # Projection and expressions
 
+_LITERALS = {"int8": 7, "int16": -8, "int32": 9, "int64": 1 << 40, "uint8": 200, "uint16": 60000, "uint32": 4000000000, "float32": 1.5, "float64": -2.25, "bool": True, "string": "it's", "large_utf8": ""}
+_LITERAL_SQL = "7::tinyint int8, -8::smallint int16, 9::int int32, 1099511627776::bigint int64, 200::smallint uint8, 60000::int uint16, 4000000000::bigint uint32, 1.5::float float32, -2.25::double float64, true \"bool\", 'it''s' \"string\", '' large_utf8"
+_add("project_literals", _on("region", lambda df: O.project(df, "r_regionkey", *(X.typed_literal(v, k).alias(k) for k, v in _LITERALS.items()))), f"SELECT r_regionkey, {_LITERAL_SQL} FROM region")
+_add("project_empty", _on("nation", lambda df: O.project(O.where(df, c("n_nationkey") < 0), "n_name", (c("n_nationkey") + lit(1)).alias("next"))), "SELECT n_name, n_nationkey + 1 AS next FROM nation WHERE n_nationkey < 0")
+_add("sort_boolean", _on("customer", lambda df: _ranked(df, ["c_custkey", (c("c_acctbal") > 0).alias("ok")], ["c_custkey", "ok"], rk=[O.sort_key("ok"), c("c_custkey")])), "SELECT c_custkey, c_acctbal > 0 ok, row_number() OVER (ORDER BY c_acctbal > 0 DESC, c_custkey) rk FROM customer")
+_add("sort_text", _on("customer", lambda df: _ranked(df, ["c_name"], ["c_name"], rk=[O.sort_key("c_name")])), "SELECT c_name, row_number() OVER (ORDER BY c_name DESC) rk FROM customer")
+
 _add("project_alias_literal", _on("nation", lambda df: O.project(df, c("n_name").alias("nm"), X.typed_literal(1, "int64").alias("one"))), "SELECT n_name nm, 1::bigint one FROM nation")
 _add("project_autoname", _on("part", lambda df: O.project(df, "p_partkey", "p_name", c("p_retailprice") * lit(2.0))), "SELECT p_partkey, p_name, p_retailprice * 2.0::double AS col_2 FROM part")
 _add("project_prune", _on("customer", lambda df: O.prune(df, "c_name", "c_custkey")), "SELECT c_name, c_custkey FROM customer")
@@ -144,10 +187,10 @@ _add("distinct_on_expr", _on("orders", lambda df: O.distinct_on(df.select("o_ord
 
 # Sort and top-k: the rank is a column, so that a comparison without order still sees it
 
-_add("sort_asc", _on("customer", lambda df: O.sort(df.select("c_custkey", _rank(O.sort_key("c_acctbal", asc=True), c("c_custkey")).alias("rk")), c("rk"))), "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal ASC NULLS FIRST, c_custkey) rk FROM customer")
-_add("sort_desc", _on("customer", lambda df: O.sort(df.select("c_custkey", _rank(O.sort_key("c_acctbal"), c("c_custkey")).alias("rk")), c("rk"))), "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) rk FROM customer")
-_add("sort_multi", _on("customer", lambda df: O.sort(df.select("c_custkey", _rank(O.sort_key("c_mktsegment"), O.sort_key("c_name", asc=True)).alias("rk")), c("rk"))), "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_name ASC) rk FROM customer")
-_add("sort_nulls", _on("part", lambda df: O.sort(df.select("p_partkey", _rank(O.sort_key(F.nullif(c("p_size"), lit(1))), c("p_partkey")).alias("down"), _rank(O.sort_key(F.nullif(c("p_size"), lit(1)), asc=True), c("p_partkey")).alias("up"), _rank(O.sort_key(F.nullif(c("p_size"), lit(1)), asc=True, nulls_first=False), c("p_partkey")).alias("last")), c("down"))), "SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size, 1) DESC NULLS LAST, p_partkey) down, row_number() OVER (ORDER BY nullif(p_size, 1) ASC NULLS FIRST, p_partkey) up, row_number() OVER (ORDER BY nullif(p_size, 1) ASC NULLS LAST, p_partkey) AS last FROM part")
+_add("sort_asc", _on("customer", lambda df: _ranked(df, ["c_custkey", "c_acctbal"], ["c_custkey"], rk=[O.sort_key("c_acctbal", asc=True), c("c_custkey")])), "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal ASC NULLS FIRST, c_custkey) rk FROM customer")
+_add("sort_desc", _on("customer", lambda df: _ranked(df, ["c_custkey", "c_acctbal"], ["c_custkey"], rk=[O.sort_key("c_acctbal"), c("c_custkey")])), "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) rk FROM customer")
+_add("sort_multi", _on("customer", lambda df: _ranked(df, ["c_custkey", "c_mktsegment", "c_name"], ["c_custkey"], rk=[O.sort_key("c_mktsegment"), O.sort_key("c_name", asc=True)])), "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_name ASC) rk FROM customer")
+_add("sort_nulls", _on("part", lambda df: _ranked(df, ["p_partkey", F.nullif(c("p_size"), lit(1)).alias("size")], ["p_partkey"], down=[O.sort_key("size"), c("p_partkey")], up=[O.sort_key("size", asc=True), c("p_partkey")], last=[O.sort_key("size", asc=True, nulls_first=False), c("p_partkey")])), "SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size, 1) DESC NULLS LAST, p_partkey) down, row_number() OVER (ORDER BY nullif(p_size, 1) ASC NULLS FIRST, p_partkey) up, row_number() OVER (ORDER BY nullif(p_size, 1) ASC NULLS LAST, p_partkey) AS last FROM part")
 _add("topk_one", _on("orders", lambda df: O.top_k(df.select("o_orderkey", "o_totalprice"), 10, O.sort_key("o_totalprice"), c("o_orderkey"))), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10")
 _add("topk_multi", _on("lineitem", lambda df: O.top_k(df.select("l_orderkey", "l_linenumber", "l_quantity"), 25, O.sort_key("l_quantity"), O.sort_key("l_orderkey", asc=True), O.sort_key("l_linenumber", asc=True))), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 25")
 
@@ -210,7 +253,7 @@ _add("pipe_7b", _two("orders", "customer", lambda o, cu: O.limit(O.sort(O.projec
 _add("pipe_7c", _two("orders", "customer", lambda o, cu: O.limit(O.sort(O.project(O.where(O.join(o, cu, _OC), (c("c_acctbal") < 0) & (c("o_totalprice") < 90000.0)), "o_orderkey", "c_acctbal"), c("o_orderkey")), 8)), "SELECT o_orderkey, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 AND o_totalprice < 90000 ORDER BY o_orderkey LIMIT 8")
 _add("pipe_8a", _on("customer", lambda df: O.project(O.where(df, F.abs("c_acctbal") > 5.0), "c_custkey", X.round_half_even(F.abs("c_acctbal")).alias("r"))), "SELECT c_custkey, round_even(abs(c_acctbal), 0) r FROM customer WHERE abs(c_acctbal) > 5")
 _add("pipe_8b", _on("customer", lambda df: O.project(O.where(df, F.abs("c_acctbal") > 5000.0), "c_custkey", X.round_half_even(c("c_acctbal")).alias("r"))), "SELECT c_custkey, round_even(c_acctbal, 0) r FROM customer WHERE abs(c_acctbal) > 5000")
-_add("pipe_9a", _on("customer", lambda df: O.sort(df.select("c_name", _rank(O.sort_key("c_acctbal"), O.sort_key("c_name", asc=True)).alias("rk")), c("rk"))), "SELECT c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_name) rk FROM customer")
-_add("pipe_9b", _on("customer", lambda df: O.sort(df.select("c_name", _rank(O.sort_key("c_nationkey", asc=True), O.sort_key("c_name")).alias("rk")), c("rk"))), "SELECT c_name, row_number() OVER (ORDER BY c_nationkey, c_name DESC) rk FROM customer")
+_add("pipe_9a", _on("customer", lambda df: _ranked(df, ["c_name", "c_acctbal"], ["c_name"], rk=[O.sort_key("c_acctbal"), O.sort_key("c_name", asc=True)])), "SELECT c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_name) rk FROM customer")
+_add("pipe_9b", _on("customer", lambda df: _ranked(df, ["c_name", "c_nationkey"], ["c_name"], rk=[O.sort_key("c_nationkey", asc=True), O.sort_key("c_name")])), "SELECT c_name, row_number() OVER (ORDER BY c_nationkey, c_name DESC) rk FROM customer")
 _add("pipe_10", _on("customer", lambda df: O.where(df, c("c_acctbal") > 2500.0)), "SELECT * FROM customer WHERE c_acctbal > 2500")
 _add("sql_entry", lambda spark, d: service.run_query(spark, "SELECT c_mktsegment, count(*) AS n FROM data WHERE c_acctbal > 0 GROUP BY c_mktsegment", uri=f"{d}/customer.parquet")["result"], "SELECT c_mktsegment, count(*)::bigint n FROM customer WHERE c_acctbal > 0 GROUP BY 1")

@@ -78,7 +78,7 @@ def bind(spark: SparkSession, df: DataFrame, sql: str) -> DataFrame:
 
 
 def run_query(spark: SparkSession, sql: str | None, file: str | None = None, uri: str | None = None, mime: str | None = None, config: Config | None = None) -> dict:
-    """Status, query, result (a DataFrame over the view data) and time. 422 without SQL, 400 unless exactly one of file and uri is given, 413 for a large local file."""
+    """Status, query, result (a DataFrame over the view data) and time. 422 without SQL, 400 unless exactly one of file and uri is given, 413 for a large request or local file."""
     began = time.perf_counter()
     if not (sql or "").strip():
         raise BadRequest(422, "sql_query is required")
@@ -87,7 +87,9 @@ def run_query(spark: SparkSession, sql: str | None, file: str | None = None, uri
         raise BadRequest(400, "give exactly one of file and file_uri")
     if file is not None and config is not None and os.path.isfile(file) and os.path.getsize(file) > config.batch.max_file_size_mb * 1e6:
         raise BadRequest(413, "the file is too large")
-    df = bind(spark, sources.open_source(spark, file or uri, mime), sql)
+    if config is not None and len(sql.encode()) > config.server.max_request_size_mb * 1e6:
+        raise BadRequest(413, "the request is too large")
+    df = bind(spark, sources.open_source(spark, file or uri, mime, config), sql)
     return {"status": "success", "query": sql, "result": df, "execution_time_ms": (time.perf_counter() - began) * 1000}
 
 
@@ -101,7 +103,7 @@ def _fault(phase: Code, e: Exception) -> Code:
 
 @dataclass
 class Service:
-    """Runs requests: at most max_concurrent_queries at once, results of equal requests kept for cache_ttl_seconds."""
+    """Runs requests: at most max_concurrent_queries at once, each within max_request_size_mb and timeout; results of equal requests kept for cache_ttl_seconds."""
 
     spark: SparkSession
     config: Config = field(default_factory=Config)
@@ -116,18 +118,40 @@ class Service:
         if self.config.query.enable_cache and key in self.kept and at - self.kept[key][0] < self.config.query.cache_ttl_seconds:
             return self.kept[key][1]
         with self.slots:
-            found = self._execute(request)
+            found = self._timed(request)
         found.elapsed_ms = (time.monotonic() - at) * 1000
         if found.code is Code.SUCCESS and self.config.query.enable_cache:
             self.kept = {k: v for k, v in self.kept.items() if at - v[0] < self.config.query.cache_ttl_seconds} | {key: (at, found)}
         return found
 
+    def _timed(self, request: QueryRequest) -> QueryResponse:
+        """The request's jobs are cancelled after the settings' timeout, in seconds."""
+        context, group, late = self.spark.sparkContext, f"request-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(self.config.server.timeout, stop)
+        timer.start()
+        context.setJobGroup(group, request.sql[:200], True)
+        try:
+            found = self._execute(request)
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+        if late.is_set() and found.code is not Code.SUCCESS:
+            return QueryResponse(Code.EXECUTION_ERROR, error=f"the query took more than {self.config.server.timeout} s")
+        return found
+
     def _execute(self, request: QueryRequest) -> QueryResponse:
+        if len(request.sql.encode()) + len(request.plan) > self.config.server.max_request_size_mb * 1e6:
+            return QueryResponse(Code.PARSE_ERROR, error="the request is too large")
         if not request.sql.strip():
             return QueryResponse(Code.PARSE_ERROR, error="only SQL text is accepted")
         phase = Code.SOURCE_ERROR
         try:
-            df = sources.open_source(self.spark, request.source.uri, request.source.mime)
+            df = sources.open_source(self.spark, request.source.uri, request.source.mime, self.config)
             phase = Code.PARSE_ERROR
             df = bind(self.spark, df, request.sql)
             phase = Code.UPLOAD_ERROR if request.sink else Code.EXECUTION_ERROR

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import urllib.request
+import uuid
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -10,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import Config
 from ..functions import column
 from ..operators import prune
+from ..session import shared_folder
 
 _INTEGER = re.compile(r"[+-]?[0-9]+")
 
@@ -102,19 +106,57 @@ def resolve(uri: str) -> str:
     return uri
 
 
-def open_source(spark: SparkSession, uri: str, mime: str | None = None) -> DataFrame:
-    """A source by address; its kind is the media type's, else the suffix's. Spreadsheets have no reader."""
+def fetch(spark: SparkSession, url: str, most: float, timeout: float) -> str:
+    """Copy an http address to the folder that driver and executors share; returns the copy's path. ValueError beyond most bytes."""
+    path = f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}/{urlparse(url).path.rsplit('/', 1)[-1] or 'file'}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size, whole = 0, False
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        out = store.create(at)
+        try:
+            while chunk := answer.read(1 << 20):
+                size += len(chunk)
+                if size > most:
+                    raise ValueError(f"the source is larger than {most:.0f} bytes")
+                out.write(bytearray(chunk))
+            whole = True
+        finally:
+            out.close()
+            if not whole:
+                store.delete(at.getParent(), True)
+    return path
+
+
+def copied(spark: SparkSession, path: str, most: float) -> str:
+    """Copy a file of any store to the shared folder; returns the copy's path. ValueError beyond most bytes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    store = source.getFileSystem(conf)
+    if store.getContentSummary(source).getLength() > most:
+        raise ValueError(f"the source is larger than {most:.0f} bytes")
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}/{source.getName()}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(store, source, target.getFileSystem(conf), target, False, conf)
+    return target.toString()
+
+
+def open_source(spark: SparkSession, uri: str, mime: str | None = None, config: Config | None = None) -> DataFrame:
+    """A source by address; its kind is the media type's, else the suffix's. Spreadsheets have no reader.
+
+    http sources, and with should_download those of other stores, are copied to the shared folder first, within
+    the settings' max_download_size_mb; http waits for its timeout.
+    """
     kind = (mime or urlparse(uri).path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if kind in ("xls", "xlsx") or "spreadsheet" in kind or "excel" in kind:
         raise ValueError("spreadsheets have no reader; save the sheet as CSV")
     if kind not in READERS:
         raise ValueError(f"unknown kind of source {kind!r}")
-    path = resolve(uri)
+    path, config = resolve(uri), config or Config()
+    most = config.batch.max_download_size_mb * 1e6
     if path.startswith(("http://", "https://")):
-        spark.sparkContext.addFile(path)
-        from pyspark import SparkFiles
-
-        path = "file://" + SparkFiles.get(path.rsplit("/", 1)[-1])
+        path = fetch(spark, path, most, config.server.timeout)
+    elif config.batch.should_download and urlparse(path).scheme not in ("", "file"):
+        path = copied(spark, path, most)
     return READERS[kind](spark, path)
 
 

@@ -1,5 +1,9 @@
 """What the catalogue cannot show: errors, semantics that differ from Spark's defaults, plans, sources, settings and the service."""
 
+import functools
+import http.server
+import threading
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +98,56 @@ def test_memory_and_addresses(spark):
         types.from_name("no such type")
 
 
+def test_http_and_object_store_sources(spark, tmp_path):
+    folder = tmp_path / "served"
+    folder.mkdir()
+    (folder / "a.csv").write_text("n,s\n1,x\n2,y\n")
+    (folder / "b.txt").write_text("one\ntwo\n")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(folder)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        assert [tuple(r) for r in sources.open_source(spark, f"{at}/a.csv").orderBy("n").collect()] == [(1, "x"), (2, "y")]
+        assert sorted(r.value for r in sources.open_source(spark, f"{at}/b.txt").collect()) == ["one", "two"]
+        small = config.merge(config.Config(), {"batch": {"max_download_size_mb": 0.000001}})
+        with pytest.raises(ValueError, match="larger"):
+            sources.open_source(spark, f"{at}/a.csv", config=small)
+        with pytest.raises(OSError):
+            sources.open_source(spark, f"{at}/none.csv")
+    finally:
+        server.shutdown()
+    # a mounted file system stands in for an object store: only Spark's readers can open it
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.bucket.link./in", f"file://{folder}")
+    assert sources.open_source(spark, "viewfs://bucket/in/b.txt", "text/plain").count() == 2
+    load = config.merge(config.Config(), {"batch": {"should_download": True}})
+    assert sources.open_source(spark, "viewfs://bucket/in/a.csv", config=load).count() == 2
+    with pytest.raises(ValueError, match="larger"):
+        sources.open_source(spark, "viewfs://bucket/in/a.csv", config=config.merge(config.Config(), {"batch": {"should_download": True, "max_download_size_mb": 0.000001}}))
+
+
+def test_ranks_without_one_window(spark):
+    rows = spark.range(10_000).select(((F.col("id") * 7919) % 10_000).alias("v"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("g"))
+    got = O.ranked(rows, "rk", O.sort_key("g", asc=True), F.col("v"))
+    wanted = sorted(rows.collect(), key=lambda r: (r.g is not None, r.g or 0, r.v))
+    assert [tuple(r) for r in got.orderBy("rk").collect()] == [(r.v, r.g, n) for n, r in enumerate(wanted, 1)]
+    assert O.ranked(rows.limit(0), "rk", F.col("v")).count() == 0
+    assert [r.v for r in O.top_k(rows, O.HEAP_ROWS + 1, O.sort_key("v")).limit(3).collect()] == [9999, 9998, 9997]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_limits_of_requests(spark):
+    slow = config.merge(config.Config(), {"server": {"timeout": 1}})
+    ask = lambda sql, c: service.Service(spark, c).execute(service.QueryRequest(sql, service.Source(f"{DATA}/lineitem.parquet")))
+    found = ask("SELECT a.l_comment FROM data a, data b, data c WHERE hash(a.l_orderkey, b.l_orderkey, c.l_orderkey) = 1", slow)
+    assert found.code is service.Code.EXECUTION_ERROR and "more than 1 s" in found.error
+    tight = config.merge(config.Config(), {"server": {"max_request_size_mb": 0.00001}})
+    assert ask("SELECT 1", tight).code is service.Code.SUCCESS and ask("SELECT 1 AS a_long_name", tight).code is service.Code.PARSE_ERROR
+    with pytest.raises(service.BadRequest) as e:
+        service.run_query(spark, "SELECT 1 AS a_long_name", uri="x.csv", config=tight)
+    assert e.value.status == 413
+
+
 def test_settings(tmp_path):
     path = tmp_path / "s.yaml"
     path.write_text("server:\n  port: 0\n  hostName: x\nbatch:\n  size: big\n")
