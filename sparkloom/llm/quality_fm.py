@@ -46,7 +46,7 @@ MEASURES = ("symbols", "upper", "digits", "marks", "word_length", "word_spread",
 
 def structure(texts: list[bytes | None], b: K.Buffer) -> np.ndarray:
     """One row a text, a column a measure, all between 0 and 1 or so."""
-    m = Q.measure(texts, Q.Rules(lengths=(2,), max_repeat_chars=(1.0,)))
+    m = Q.measure(texts, Q.Rules(lengths=(2,), max_repeat_chars=(1.0,)), b)
     raw, at = b.raw, b.byte_at
     words = m["n_words"]
     some, chars = np.maximum(words, 1), np.maximum(m["word_chars"], 1)
@@ -56,7 +56,7 @@ def structure(texts: list[bytes | None], b: K.Buffer) -> np.ndarray:
     spread = np.sqrt(np.maximum(np.bincount(doc, length**2, minlength=len(texts)) / some - mean**2, 0))
     count = lambda flags: K.total(flags, at)
     lines = count(raw == 0x0A)
-    keys = np.unique(np.stack([doc, (b.words >> np.uint64(1)).astype(np.int64)]), axis=1)[0] if len(doc) else doc
+    keys = doc[np.unique(K.within(doc, b.words), return_index=True)[1]]
     return np.stack(
         [
             m["n_symbols"] / chars,
@@ -154,10 +154,10 @@ def fit(slots: list[np.ndarray], values: list[np.ndarray], measures: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params | None = None, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on documents whose label is 0 or 1 and whose id meets where, at most Params.sample of them."""
+    """Fit on documents whose label is 0 or 1 and whose id meets where, at most Params.sample of them; of an id's different labels the smaller counts."""
     p = params or Params()
     chosen = labels.where(F.col(label_col).isin(0, 1) & (F.lit(True) if where is None else where)).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(p.sample)
+    chosen = chosen.groupBy("__id").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(p.sample)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(chosen, F.col("id") == F.col("__id"))
     made = K.map_texts(rows, lambda b: _packed(b, p), "label int, slots binary, vals binary, measures binary", "id", "text", extra={"label": "__label"}).toArrow()
     unpack = lambda name, kind: [np.frombuffer(x, kind) for x in made[name].to_pylist()]

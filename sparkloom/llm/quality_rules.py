@@ -29,14 +29,14 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits as shares of a document's word characters (words for max_repeat_words).
+    """Limits as shares of a document's word characters, and repeat_percent in whole per cents of its words.
 
     max_repeat_chars holds for the characters covered by repeated n-grams of the given lengths.
     """
 
     min_words: int = 10
     window: int = 5
-    max_repeat_words: float = 0.20
+    repeat_percent: int = 20
     lengths: tuple[int, ...] = (2, 3, 4, 6, 8, 10)
     max_repeat_chars: tuple[float, ...] = (0.60, 0.40, 0.25, 0.20, 0.18, 0.16)
     max_dup_line_chars: float = 0.30
@@ -69,8 +69,9 @@ def covered(first: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def measure(texts: list[bytes | None], rules: Rules) -> dict[str, np.ndarray]:
-    b = K.read(texts)
+def measure(texts: list[bytes | None], rules: Rules, b: K.Buffer | None = None) -> dict[str, np.ndarray]:
+    """All measures and verdicts of texts; b: their buffer, where it is at hand."""
+    b = K.read(texts) if b is None else b
     doc = b.doc_of
     text_byte = ~K.SPACE[b.raw]
     lead = (b.raw & 0xC0) != 0x80
@@ -99,9 +100,7 @@ def measure(texts: list[bytes | None], rules: Rules) -> dict[str, np.ndarray]:
         among = repeated(b, doc, k, state, among)
         inside[k] = covered(among, k, len(b.words))
     out["n_repeat_words"] = K.total(inside[rules.window], b.word_at)
-    out["base_failed"] = (out["n_words"] < rules.min_words) | (out["n_repeat_words"] > rules.max_repeat_words * out["n_words"])
-    if (rules.min_words, rules.max_repeat_words) == (10, 0.20):  # in integers, as 0.2 has no exact double
-        out["base_failed"] = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
+    out["base_failed"] = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.repeat_percent * out["n_words"])
     size = np.maximum(out["word_chars"], 1)
     failed = out["base_failed"] | (out["dup_line_chars"] > rules.max_dup_line_chars * size) | (out["n_symbols"] > rules.max_symbols * size)
     worst = np.zeros(len(texts), np.int64)
