@@ -23,19 +23,28 @@ SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_words, round(coalesce(logs.s,
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN logs USING (doc_id)
 """
 
-#: The measures of the quality rules alone (the verdict has no SQL); used by the tests.
-QUALITY_MEASURES = r"""
+_QUALITY = r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  listed AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
- grams AS (SELECT doc_id, g.i AS i, w[g.i : g.i + 4] AS gram FROM listed, unnest(range(1, len(w) - 3)) AS g(i)),
- twice AS (SELECT doc_id, unnest(list_distinct(flatten(list([i, i + 1, i + 2, i + 3, i + 4])))) AS place FROM
-   (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1 GROUP BY doc_id),
- repeats AS (SELECT doc_id, count(*) AS n FROM twice GROUP BY doc_id),
- lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts),
- dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
-  len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
-FROM listed LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id)
+ grams AS (SELECT doc_id, ks.k, g.i, hash(array_to_string(w[g.i : g.i + ks.k - 1], ' ')) AS gram FROM listed, unnest([2, 3, 4, 5, 6, 8, 10]) AS ks(k), unnest(range(1, len(w) - ks.k + 2)) AS g(i)),
+ twice AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, gram) AS n FROM grams) WHERE n > 1),
+ places AS (SELECT DISTINCT doc_id, k, i + o.j AS place FROM twice, unnest(range(0, k)) AS o(j)),
+ covered AS (SELECT doc_id, k, count(*) AS n, sum(len(w[place])) AS chars, any_value(len(array_to_string(w, ''))) AS size FROM places JOIN listed USING (doc_id) GROUP BY doc_id, k),
+ repeats AS (SELECT doc_id, coalesce(max(n) FILTER (k = 5), 0) AS n, bool_or(chars > size * CASE k WHEN 2 THEN 0.60::DOUBLE WHEN 3 THEN 0.40::DOUBLE WHEN 4 THEN 0.25::DOUBLE WHEN 6 THEN 0.20::DOUBLE WHEN 8 THEN 0.18::DOUBLE WHEN 10 THEN 0.16::DOUBLE END) AS repetitive FROM covered GROUP BY doc_id),
+ lines AS (SELECT doc_id, l, len(array_to_string(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), '')) AS chars FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts)),
+ dups AS (SELECT doc_id, sum(n - 1) AS n, sum((n - 1) * chars) AS chars FROM (SELECT doc_id, l, chars, count(*) AS n FROM lines WHERE chars > 0 GROUP BY ALL) GROUP BY doc_id),
+ measured AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+   coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(dups.chars, 0) AS dup_chars, coalesce(repetitive, false) AS repetitive FROM listed LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(word_chars, 1) AS size FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR dup_chars > 0.30::DOUBLE * size OR n_symbols > 0.10::DOUBLE * size OR repetitive) AS kept FROM judged
+"""
+
+_NEIGHBOURS = r"""
+WITH vecs AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+   FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, "rank", vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS "rank" FROM pairs) WHERE "rank" <= 10
 """
 
 _MIXTURE = r"""
@@ -80,4 +89,4 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id, d.doc
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id)
 """
 
-ORACLES = {"op2_lm_score": _LM, "op6_mixing": _MIXTURE, "op7_near_dedup": _NEAR, "op8_sharding": _SHARDS}
+ORACLES = {"op2_lm_score": _LM, "op5_ann": _NEIGHBOURS, "op6_mixing": _MIXTURE, "op7_near_dedup": _NEAR, "op8_sharding": _SHARDS, "op9_quality_rules": _QUALITY}

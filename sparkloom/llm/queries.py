@@ -74,7 +74,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2
     docs = documents(spark, sf_dir)
-    model = quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), where=~held_out("doc_id"))
+    model = quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality_fm.Params(meta=("n_chars",)), where=~held_out("doc_id"))
     return quality_fm.score(docs, model).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
