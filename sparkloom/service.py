@@ -130,7 +130,7 @@ class Service:
 
         def stop() -> None:
             late.set()
-            context.cancelJobGroup(group)
+            context._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
         timer = threading.Timer(self.config.server.timeout, stop)
         timer.start()
@@ -140,7 +140,7 @@ class Service:
         finally:
             timer.cancel()
             context.setLocalProperty("spark.jobGroup.id", None)
-        if late.is_set() and found.code is not Code.SUCCESS:
+        if late.is_set() and found.code not in (Code.SUCCESS, Code.PARSE_ERROR):
             return QueryResponse(Code.EXECUTION_ERROR, error=f"the query took more than {self.config.server.timeout} s")
         return found
 
