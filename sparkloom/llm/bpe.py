@@ -139,7 +139,7 @@ class Codec:
         leaves: list[str] = []
         cuts = []
         for section in sections:
-            n = 1 << max(0, (len(section) // self.p.leaf).bit_length() - 1)
+            n = 1 << (len(section) // self.p.leaf).bit_length() - 1 if len(section) > 2 * self.p.leaf else 1
             at = [len(section) * i // n for i in range(n + 1)]
             leaves += [section[a:b] for a, b in zip(at, at[1:])]
             cuts.append(at)

@@ -68,6 +68,13 @@ def test_bpe_joins_trees_exactly():
         assert small.decode([np.array(ids)]) == [whole.decode(ids, skip_special_tokens=False)]
 
 
+def test_bpe_keeps_special_tokens_whole_at_any_length():
+    whole, small = Tokenizer.from_file(PATH), bpe.Codec(PATH, bpe.Params(leaf=8, reach=1, window=1))
+    for n in range(40):
+        for text in ("a" * n + "<|endoftext|>", "<|endoftext|>" + " b." * n, "a b" * n + "<|endoftext|>c d" * 2):
+            assert small.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_joins_whole_documents_at_the_default_leaf(spark):
     whole, own = Tokenizer.from_file(PATH), bpe.Codec(PATH, bpe.Params())
     whole.no_truncation()
