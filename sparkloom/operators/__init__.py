@@ -5,6 +5,7 @@ Each builds a logical plan only, but for ranked(), which sorts at once; Catalyst
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -201,18 +202,15 @@ def sort(df: DataFrame, *keys: Column) -> DataFrame:
 def ranked(df: DataFrame, name: str, *keys: Column) -> DataFrame:
     """df with the place of each row in the order of keys, from 1, as column name.
 
-    Rows are sorted by range and counted a partition; no task needs all rows. Ties are in any order, but in one.
+    Rows are sorted by range and counted a partition; no task needs all rows. They come in that order; ties in any, but in one.
     """
     held = checkpoint(sort(df, *keys).withColumn("__at", F.monotonically_increasing_id()))
     part = F.call_function("shiftright", F.col("__at"), F.lit(33))
-    counts = sorted(held.groupBy(part.cast("int").alias("part")).count().collect())  # a number a partition
-    before, starts = 0, []
-    for number, n in counts:
-        starts.append((number, before))
-        before += n
-    at = df.sparkSession.createDataFrame(starts, "__part int, __before long")
-    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return held.join(F.broadcast(at), part.cast("int") == F.col("__part")).withColumn(name, rank).select(*(column(c) for c in [*df.columns, name]))
+    counts = dict(held.groupBy(part.cast("int")).count().collect())  # a number a partition
+    sizes = [counts.get(i, 0) for i in range(max(counts, default=0) + 1)]
+    before = F.expr("array(" + ", ".join(f"{n}L" for n in itertools.accumulate([0, *sizes])) + ")")
+    rank = F.get(before, part.cast("int")) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.withColumn(name, rank).drop("__at")
 
 
 #: Rows beyond which the first rows of an order are found by a sort by range; fewer fit the heap of one task.
@@ -223,4 +221,4 @@ def top_k(df: DataFrame, k: int, *keys: Column) -> DataFrame:
     """The first k rows in order of keys: by a bounded heap in each task, or for a large k by a sort by range."""
     if k <= HEAP_ROWS:
         return limit(sort(df, *keys), k)
-    return sort(ranked(df, "__rank", *keys).where(F.col("__rank") <= k), F.col("__rank")).drop("__rank")
+    return ranked(df, "__rank", *keys).where(F.col("__rank") <= k).drop("__rank")

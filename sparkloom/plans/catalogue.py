@@ -47,11 +47,11 @@ c, lit = F.col, F.lit
 
 
 def _ranked(df: DataFrame, columns: list, shown: list[str], **orders: list) -> DataFrame:
-    """Columns of a table with a place in each of the given orders, in the first of them."""
+    """Columns of a table with a place in each of the given orders, in the last of them."""
     df = df.select(*columns)
     for name, keys in orders.items():
         df = O.ranked(df, name, *keys)
-    return O.sort(df.select(*shown, *orders), c(next(iter(orders))))
+    return df.select(*shown, *orders)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
