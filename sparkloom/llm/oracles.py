@@ -19,7 +19,7 @@ WITH words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FRO
  one AS (SELECT *, CASE WHEN w1 > 0 THEN w1::DOUBLE / (n - own) ELSE 1::DOUBLE / n END AS s1 FROM parts),
  two AS (SELECT *, CASE WHEN c IS NULL THEN s1 WHEN w2 > 0 AND c1 > 0 THEN w2::DOUBLE / c1 ELSE 0.4::DOUBLE * s1 END AS s2 FROM one),
  logs AS (SELECT doc_id, sum(ln(CASE WHEN cc IS NULL THEN s2 WHEN w3 > 0 AND c2 > 0 THEN w3::DOUBLE / c2 ELSE 0.4::DOUBLE * s2 END)) AS s FROM two GROUP BY doc_id)
-SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_words, round(coalesce(logs.s, 0), 3) AS log_score
+SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_words, round(coalesce(logs.s, 0), 3) AS log_score, round(logs.s / size.n, 4) AS score
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN logs USING (doc_id)
 """
 

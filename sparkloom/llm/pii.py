@@ -208,8 +208,8 @@ def joined(spans: Column) -> Column:
 
 
 def counts(found: DataFrame) -> DataFrame:
-    """find_pii()'s rows as doc_id, counts and digest of the base kinds, and all spans as text."""
+    """find_pii()'s rows as doc_id, counts and digest of the base kinds, all spans as text and their number."""
     base = [k.name for k in KINDS if k.base]
     number = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     digest = F.sha2(F.encode(joined(F.filter("spans", lambda s: s["kind"].isin(base))), "utf-8"), 256).alias("base_sha256")
-    return found.select("doc_id", *(number(k) for k in base), digest, joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(number(k) for k in base), digest, joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

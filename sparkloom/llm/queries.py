@@ -26,7 +26,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(documents(spark, sf_dir)).select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+    return lm_score.lm_scores(documents(spark, sf_dir)).select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("score", 4).alias("score"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,6 +187,7 @@ def test_pii_spans(spark, docs, nothing):
     for r in pii.counts(pii.find_pii(table)).collect():
         spans = sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, texts[r.doc_id] or "") if confirmed(k, m[0]))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, k, e in spans).encode()).hexdigest()
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) >= len(spans)
     clean = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert clean[11].text == "Ask <email> or <phone>, card <card> at <ip>\nunder the MIT License" and clean[11].n_chars == len(clean[11].text)
     assert clean[0].text is None and clean[5].text == base_texts()[5] and pii.redact(docs).columns == docs.columns
