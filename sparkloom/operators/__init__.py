@@ -166,12 +166,28 @@ def group_by(df: DataFrame, keys: list, *aggs: Agg, zero_on_empty: bool = False)
     """A row for each value of keys (typed; nulls are one value): keys first, as group_Column(<name>) unless they have an alias, then aggregates."""
     if not keys or not aggs:
         raise ValueError("grouping takes keys and aggregates")
-    named = []
-    for k in keys:
-        c = _resolve(k)
-        node = c._jc.node().getClass().getSimpleName()
-        named.append(c if node == "Alias" else c.alias(f"group_{shown(k)}"))
-    return df.groupBy(*named).agg(*(a.build(df, zero_on_empty) for a in aggs))
+    return df.groupBy(*map(_named_key, keys)).agg(*(a.build(df, zero_on_empty) for a in aggs))
+
+
+def _named_key(key: str | Column) -> Column:
+    c = _resolve(key)
+    node = c._jc.node().getClass().getSimpleName()
+    return c if node == "Alias" else c.alias(f"group_{shown(key)}")
+
+
+def join_count(left: DataFrame, right: DataFrame, clause: JoinClause, keys: list, alias: str | None = None, how: str = "inner", residual=None) -> DataFrame:
+    """group_by(join(left, right, clause, how, residual), keys, Agg("count", "*", alias)), with equal rows of a side joined as one.
+
+    Each side is reduced to its different rows and their numbers, and a pair counts as often as the product says; so
+    time grows with the different rows, not with the pairs. Give sides of no more columns than keys and conditions need.
+    """
+    if not keys:
+        raise ValueError("grouping takes keys")
+    sides = [df.groupBy(*map(column, df.columns)).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "__left_n"), (right, "__right_n"))]
+    # Decimals: the product of two counts can exceed 64 bits. A row without a partner counts itself.
+    times = [F.coalesce(F.col(n), F.lit(1)).cast("decimal(19,0)") for n in ("__left_n", "__right_n")]
+    pairs = F.sum(times[0] * times[1]).cast("double").alias(Agg("count", "*", alias).name())
+    return join(*sides, clause, how, residual).groupBy(*map(_named_key, keys)).agg(pairs)
 
 
 def having(df: DataFrame, predicate: Column) -> DataFrame:

@@ -228,7 +228,7 @@ _add("join_right", _two("orders", "customer", lambda o, cu: O.join(_few(o), cu.s
 _add("join_multikey", _two("lineitem", "lineitem", lambda a, b: O.join(a.select("l_orderkey", "l_linenumber", "l_quantity"), b.select(c("l_orderkey").alias("k"), (c("l_linenumber") + 1).alias("line"), c("l_quantity").alias("before")), O.JoinClause(("l_orderkey", "l_linenumber"), ("k", "line")))), "SELECT a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_orderkey k, b.l_linenumber + 1 line, b.l_quantity AS before FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1")
 _add("join_computed", _two("nation", "region", lambda n, r: O.join(n.select("n_name", "n_regionkey"), r.select("r_name", "r_regionkey"), O.JoinClause((F.lower(F.substring("n_name", 1, 1)),), (F.lower(F.substring("r_name", 1, 1)),)))), "SELECT n_name, n_regionkey, r_name, r_regionkey FROM nation JOIN region ON lower(substring(n_name, 1, 1)) = lower(substring(r_name, 1, 1))")
 _add("join_nullkey", _two("nation", "region", lambda n, r: O.join(n.select("n_name", F.nullif(c("n_regionkey"), lit(1)).alias("k")), r.select("r_name", F.nullif(c("r_regionkey"), lit(1)).alias("rk")), O.JoinClause(("k",), ("rk",)), "left")), "SELECT n_name, nullif(n_regionkey, 1) k, r_name, rk FROM nation LEFT JOIN (SELECT r_name, nullif(r_regionkey, 1) rk FROM region) ON nullif(n_regionkey, 1) = rk")
-_add("join_many", _two("supplier", "customer", lambda s, cu: O.group_by(O.join(s.select("s_nationkey"), cu.select("c_nationkey"), O.JoinClause(("s_nationkey",), ("c_nationkey",))), [c("s_nationkey").alias("k")], O.Agg("count", "*", "n"))), "SELECT s_nationkey k, count(*)::double n FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY 1")
+_add("join_many", _two("supplier", "customer", lambda s, cu: O.join_count(s.select("s_nationkey"), cu.select("c_nationkey"), O.JoinClause(("s_nationkey",), ("c_nationkey",)), [c("s_nationkey").alias("k")], "n")), "SELECT s_nationkey k, count(*)::double n FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY 1")
 _add("join_dup_names", _two("nation", "nation", lambda a, b: O.join(a.select("n_name", "n_regionkey"), b.select("n_name", "n_regionkey"), O.JoinClause(("n_regionkey",), ("n_regionkey",)))), "SELECT a.n_name left_n_name, a.n_regionkey left_n_regionkey, b.n_name right_n_name, b.n_regionkey right_n_regionkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 _add("join_residual", _two("customer", "orders", lambda cu, o: O.join(cu.select("c_custkey", "c_acctbal"), o.select("o_orderkey", "o_custkey", "o_totalprice"), _CO, "left", residual=lambda l, r: r("o_totalprice") > l("c_acctbal") * 40)), "SELECT c_custkey, c_acctbal, o_orderkey, o_custkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 40")
 

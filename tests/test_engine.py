@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom import config, service, sources, types
 from sparkloom import functions as X
 from sparkloom import operators as O
+from sparkloom.plans import catalogue
 from sparkloom.streaming import read_folder, windowed
 
 DATA = "/root/testdata/sf0.001"
@@ -72,6 +73,26 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in O.top_k(lineitem, 3, O.sort_key("l_quantity"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_join_count_makes_no_pairs(spark):
+    query = catalogue.queries()["join_many"](spark, DATA)
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join") :].count("Aggregate") == 2  # both sides are counted below the join
+    one = spark.range(3_000_000).select(F.lit(1).alias("k"))
+    assert [tuple(r) for r in O.join_count(one, one, O.JoinClause(("k",), ("k",)), [F.col("left_k").alias("k")], "n").collect()] == [(1, 9e12)]
+    a = spark.range(120).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("v"))
+    b = spark.range(90).select(F.when(F.col("id") % 5 > 1, (F.col("id") % 5).cast("string")).alias("s"), (F.col("id") % 4).alias("v"))
+    clause = O.JoinClause(("k",), (F.col("s").cast("int") * 2,))
+    for how in ("inner", "left", "right"):
+        for residual in (None, lambda left, right: left("v") < right("v")):
+            for keys in (["k"], ["s", (F.col("left_v") + 1).alias("w")], [F.lit(0).alias("all")]):
+                wanted = O.group_by(O.join(a, b, clause, how, residual), keys, O.Agg("count", "*"))
+                got = O.join_count(a, b, clause, keys, how=how, residual=residual)
+                assert got.dtypes == wanted.dtypes
+                assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    with pytest.raises(ValueError):
+        O.join_count(a, b, clause, [])
+
+
 def test_csv_types(spark, tmp_path):
     cases = {"": "string", " null ": "string", "true": "boolean", "TRUE": "string", "42": "bigint", " 42": "bigint", "1.5": "double", "1e3": "double", "x": "string"}
     assert {k: sources.sniff(k).simpleString() for k in cases} == cases
